@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import contamination, repetition
+from codequarry.llm import contamination, pairs, repetition, splitting
 from codequarry.session import table
 
 QUERIES: dict = {}
@@ -35,3 +35,18 @@ REPEATED = 0.30
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     shares = repetition.repetition(table(spark, sf, "documents"), "doc_id", "text", [F.col("lang"), F.col("source")])
     return repetition.flag_repetitive(shares, ceiling=REPEATED).where(F.col("repetitive") & (F.col("share") >= REPEATED)).select("doc_id")
+
+
+@query("p5_found")
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.function_pairs(table(spark, sf, "symbols")).select("id", "func_name")
+
+
+@query("p6_found", "SELECT id FROM symbols WHERE length(content) > 4000")
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf, "symbols")).where("piece = 0").select("id")
+
+
+@query("p6_pieces")
+def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return splitting.split_oversized(table(spark, sf, "symbols"))
