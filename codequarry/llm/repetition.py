@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.session import cut
+
 WORDS = re.compile(r"[^\W\d_]+")
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -78,8 +80,8 @@ def thresholds(shares: DataFrame, lang: str, source: str, quantile: float, least
     fine = shares.groupBy(lang, source).agg(F.kll_sketch_agg_double("share").alias("sketch"), F.count("share").alias("n"))
     by_lang = fine.groupBy(lang).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
     top = by_lang.agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
-    cut = lambda c: F.when(F.col("n") >= least, F.kll_sketch_get_quantile_double("sketch", q)).alias(c)
-    return fine.select(lang, source, cut("cut_fine")), by_lang.select(F.col(lang).alias("l_lang"), cut("cut_lang")), top.select(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", q)).alias("cut_all"))
+    at = lambda c: F.when(F.col("n") >= least, F.kll_sketch_get_quantile_double("sketch", q)).alias(c)
+    return fine.select(lang, source, at("cut_fine")), by_lang.select(F.col(lang).alias("l_lang"), at("cut_lang")), top.select(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", q)).alias("cut_all"))
 
 
 def flag_repetitive(shares: DataFrame, lang: str = "lang", source: str = "source", quantile: float = 0.95, floor: float = 0.0, ceiling: float = 1.0, least: int = 200) -> DataFrame:
@@ -91,7 +93,7 @@ def flag_repetitive(shares: DataFrame, lang: str = "lang", source: str = "source
     optimizer, which broadcasts them by size or splits skewed keys.
     """
     clean = lambda c: F.coalesce(F.translate(F.lower(F.trim(F.col(c))), "-", "_"), F.lit(""))
-    s = shares.withColumn("_lang", clean(lang)).withColumn("_source", clean(source))
+    s = cut(shares.withColumn("_lang", clean(lang)).withColumn("_source", clean(source)))  # texts are read once, not again for each sketch
     fine, by_lang, top = thresholds(s, "_lang", "_source", quantile, least)
     cuts = fine.join(by_lang, F.col("_lang") == F.col("l_lang")).crossJoin(F.broadcast(top)).select(F.col("_lang").alias("c_lang"), F.col("_source").alias("c_source"), F.coalesce("cut_fine", "cut_lang", "cut_all").alias("cutoff"))
     joined = s.join(cuts, (F.col("_lang") == F.col("c_lang")) & (F.col("_source") == F.col("c_source")))
