@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import contamination, pairs, repetition, splitting
+from codequarry.llm import contamination, markup, pairs, repetition, splitting
 from codequarry.session import table
 
 QUERIES: dict = {}
@@ -50,3 +50,13 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p6_pieces")
 def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf, "symbols"))
+
+
+@query("p3_found")
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.clean(table(spark, sf, "symbols")).where("n_pieces > 0").select("id")
+
+
+@query("p3_clean")
+def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.clean(table(spark, sf, "symbols")).select("id", "n_pieces", "text")
