@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import contamination, markup, pairs, repetition, splitting
+from codequarry.llm import contamination, handwritten, markup, pairs, repetition, splitting
 from codequarry.session import table
 
 QUERIES: dict = {}
@@ -60,3 +60,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 @query("p3_clean")
 def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
     return markup.clean(table(spark, sf, "symbols")).select("id", "n_pieces", "text")
+
+
+@query("p2_found")
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, sf, "symbols"), table(spark, sf, "indexed_folders")).where("not_handwritten").select("file_path")
