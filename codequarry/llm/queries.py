@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import contamination, handwritten, markup, pairs, repetition, splitting
+from codequarry.llm import contamination, handwritten, markup, neighbours, pairs, repetition, splitting
 from codequarry.session import table
 
 QUERIES: dict = {}
@@ -65,3 +65,9 @@ def p3_clean(spark: SparkSession, sf: str) -> DataFrame:
 @query("p2_found")
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, sf, "symbols"), table(spark, sf, "indexed_folders")).where("not_handwritten").select("file_path")
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    near = neighbours.similar(table(spark, sf, "vec_embeddings"), k=10, least=0.90)
+    return near.select(F.least("src", "dst").alias("vec_a"), F.greatest("src", "dst").alias("vec_b")).distinct()
