@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.llm import contamination, handwritten, markup, neighbours, pairs, repetition, splitting
+from codequarry.llm import contamination, handwritten, markup, mixing, neighbours, pairs, repetition, splitting
 from codequarry.session import table
 
 QUERIES: dict = {}
@@ -71,3 +71,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     near = neighbours.similar(table(spark, sf, "vec_embeddings"), k=10, least=0.90)
     return near.select(F.least("src", "dst").alias("vec_a"), F.greatest("src", "dst").alias("vec_b")).distinct()
+
+
+@query("p9_mix")
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_plan"))
+
+
+@query("p9_shares")
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    plan = table(spark, sf, "mix_plan")
+    return mixing.shares(mixing.mix(table(spark, sf, "documents"), plan), plan)
