@@ -86,9 +86,9 @@ def interface_part(text: str) -> str:
     return text
 
 
-@F.pandas_udf("string")
-def truncate_interface(texts):  # noqa: ANN001
-    return texts.map(lambda t: None if t is None else interface_part(t))
+def truncate_interface(text: Column) -> Column:
+    """Each unit up to its implementation part; NULL stays NULL."""
+    return F.pandas_udf(lambda texts: texts.map(lambda t: None if t is None else interface_part(t)), "string")(text)
 
 
 def help_pages(spark: SparkSession, root: str) -> DataFrame:
