@@ -42,7 +42,7 @@ def conform(df: DataFrame, name: str) -> DataFrame:
             out.append(F.lit(None).cast(f.dataType).alias(f.name))
         elif isinstance(f.dataType, T.ArrayType) and isinstance(df.schema[f.name].dataType, T.StringType):
             c = F.col(f"`{f.name}`")
-            parts = F.when(F.startswith(F.ltrim(c), F.lit("[")), F.from_json(c, "array<string>")).otherwise(F.transform(F.split(c, ","), F.trim))
+            parts = F.when(F.startswith(F.ltrim(c), F.lit("[")), F.from_json(c, "array<string>")).otherwise(F.transform(F.split(c, ","), lambda x: F.trim(x)))
             out.append(F.when(F.trim(c) != "", parts).alias(f.name))
         else:
             out.append(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name))

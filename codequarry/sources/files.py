@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -27,14 +28,21 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.pas") -> DataFrame
     """(path, modified_at, size) of files below a folder, without their content, less the excluded ones.
 
     Folders with a ``.noindex`` file are left out with all below them. A missing folder raises.
+    The folder must be mounted at the same place on all nodes.
     """
     read = lambda g: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", g).load(root).select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"))
     files = read(glob).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
     base = root.rstrip("/")
     files = files.where(~excluded(F.expr(f"substring(path, {len(base) + 1})")))
-    marks = read(NO_INDEX).select(F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), "/[^/]*$", "").alias("marked"))
     up = files.select("path", F.explode(_folders(F.col("path"))).alias("folder"))
-    hidden = up.join(marks, F.col("folder") == F.col("marked"), "left_semi").select("path").distinct()
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Spark's own listing passes over files whose names open with a dot
+        for b in batches:
+            yield b.filter(pa.array([os.path.exists(f"{f}/{NO_INDEX}") for f in b.column("folder").to_pylist()], pa.bool_()))
+
+    marks = up.select("folder").distinct().mapInArrow(marked, "folder string")
+    hidden = up.join(marks, "folder", "left_semi").select("path").distinct()
     return files.join(hidden, "path", "left_anti")
 
 

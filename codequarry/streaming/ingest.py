@@ -16,7 +16,7 @@ from codequarry.plans.store import IndexStore
 def file_stream(spark: SparkSession, folder: str, glob: str = "*.pas") -> DataFrame:
     """(path, text) of files as they appear below a folder."""
     raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
-    return raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", F.lit("UTF-8")).alias("text"))
+    return raw.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("text"))
 
 
 def ingest(stream: DataFrame, store: IndexStore, checkpoint: str):
