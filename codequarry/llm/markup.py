@@ -32,7 +32,7 @@ SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 _NAME = "|".join(sorted(NAMES, key=len, reverse=True))
 TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!DOCTYPE[^>]*>|<(?P<end>/?)(?P<name>{_NAME})(?P<attrs>(?:\s[^<>]*|/)?)>", re.I | re.S)
 #: Also start tags that are never closed by a bracket.
-TORN = re.compile(rf"</?(?:{_NAME})(?:\s+[a-z-]+\s*=\s*(?:\"[^\"<>]*\"?|'[^'<>]*'?))+|</(?:{_NAME})(?![\w-])", re.I)
+TORN = re.compile(rf"(?:</?(?:{_NAME})(?:\s+[a-z-]+\s*=\s*(?:\"[^\"<>]*\"?|'[^'<>]*'?))+|</(?:{_NAME})(?![\w-]))(?![^<>]*>)", re.I)
 ENTITY = re.compile(r"&(?:[A-Za-z][A-Za-z0-9]{1,8}|#\d{1,7}|#[xX][0-9A-Fa-f]{1,6});")
 ATTR = re.compile(r"([\w-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 
@@ -381,8 +381,6 @@ def from_lines(text: str) -> str:
         return f"\n\n\x00{len(kept) - 1}\x00\n\n"
 
     text = text.replace("\x00", "").replace("\r\n", "\n").replace("\r", "\n")
-    text = FENCED.sub(lambda m: keep(fence(m[3], m[2])), text)
-    text = ENV_CODE.sub(lambda m: keep(fence(m[2])), text)
     text = ENV_MATH.sub(lambda m: keep("$$" + " ".join(m[3].split()) + "$$"), text)
     text = ENV_TABLE.sub(lambda m: keep(aligned([[inline(c) for c in r.replace("\\hline", "").split("&")] for r in m[2].split("\\\\")])), text)
 
@@ -439,18 +437,20 @@ def from_lines(text: str) -> str:
 
 
 def render(text: str) -> str:
-    """Clean text. Texts without markup come out as they are."""
+    """Clean text. Code blocks are set aside before anything else is read as markup."""
+    kept: list[str] = []
+
+    def hold(block: str) -> str:
+        kept.append(block)
+        return f"\n\n\x01{len(kept) - 1}\x01\n\n"
+
+    text = text.replace("\x01", "").replace("\r\n", "\n")
+    text = FENCED.sub(lambda m: hold(fence(m[3], m[2])), text)
+    text = ENV_CODE.sub(lambda m: hold(fence(m[2])), text)
     if TAG.search(text):
-        text = from_html(text.replace("\r\n", "\n"))
-    pieces, at = [], 0
-    for m in FENCED.finditer(text.replace("\r\n", "\n")):
-        src = text.replace("\r\n", "\n")
-        pieces.append(_unescaped(from_lines(src[at : m.start()])))
-        pieces.append(fence(m[3], m[2]))
-        at = m.end()
-    src = text.replace("\r\n", "\n")
-    pieces.append(_unescaped(from_lines(src[at:])))
-    return "\n\n".join(p for p in pieces if p.strip())
+        text = FENCED.sub(lambda m: hold(fence(m[3], m[2])), from_html(text))
+    text = re.sub(r"\n{3,}", "\n\n", _unescaped(from_lines(text))).strip("\n")
+    return re.sub("\x01(\\d+)\x01", lambda m: kept[int(m[1])], text)
 
 
 def _unescaped(text: str) -> str:

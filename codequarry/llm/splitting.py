@@ -71,16 +71,17 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP, unit: str = "c
                 return ends[k]
         return 0
 
-    out, start = [], 0
+    out, start, done = [], 0, 0
     while True:
         far = min(start + limit, len(text)) if unit == "chars" else sizes.farthest(start, limit)
         if far >= len(text):
             out.append((start, len(text)))
             return out
-        end = last(start + int((far - start) * FILL), far)
+        end = last(max(start + int((far - start) * FILL), done), far)  # each piece goes beyond the one before
         if not end:
-            end = far - 1 if text[far - 1 : far + 1] == "\r\n" and far - start > 1 else far
+            end = far - 1 if text[far - 1 : far + 1] == "\r\n" and far - 1 > max(start, done) else far
         out.append((start, end))
+        done = end
         back = max(start + 1, end - overlap) if unit == "chars" else max(start + 1, sizes.starts[max(0, bisect_left(sizes.sums, sizes.sums[bisect_left(sizes.starts, end)] - overlap))])
         nxt = end
         if overlap:
