@@ -111,6 +111,10 @@ class _Best:
             return None
         src, dst, sim = (np.concatenate(c) for c in zip(*self.out))
         self.out = []
+        # pairs that met in several tables count once
+        order = np.lexsort((-sim, dst, src))
+        once = order[np.concatenate(([True], (src[order][1:] != src[order][:-1]) | (dst[order][1:] != dst[order][:-1])))]
+        src, dst, sim = src[once], dst[once], sim[once]
         order = np.lexsort((dst, -sim, src))
         src, dst, sim = src[order], dst[order], sim[order]
         start = np.flatnonzero(np.concatenate(([True], src[1:] != src[:-1])))
