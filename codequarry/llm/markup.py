@@ -486,4 +486,6 @@ def clean(symbols: DataFrame) -> DataFrame:
                 texts.append(render(t) if found else t)
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(n, pa.int32()), pa.array(kinds, pa.map_(pa.string(), pa.int32())), pa.array(texts, pa.string())], ["id", "n_pieces", "kinds", "text"])
 
-    return rows.mapInArrow(run, "id long, n_pieces int, kinds map<string,int>, text string")
+    # texts stand together in a few files of a table; rendering is spread over all tasks
+    spread = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id")
+    return spread.mapInArrow(run, "id long, n_pieces int, kinds map<string,int>, text string")
