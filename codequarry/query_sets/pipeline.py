@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from codequarry.operators import parser, search
 from codequarry.plans import editor
 from codequarry.plans.lookup import format_results
-from codequarry.query_sets.search import text_queries
+from codequarry.functions import text
+from codequarry.query_sets.search import _EXACT, _NQ, _hybrid, text_queries
 from codequarry.registry import query
 from codequarry.session import shared_folder, table
 from codequarry.streaming import ingest
@@ -46,19 +47,32 @@ def stream_windows(spark, sf):
     return spark.read.parquet(f"{out}/table").select(F.unix_micros("start").alias("start_us"), "event_type", "n")
 
 
-@query("editor_definition")
+_LSP = " ".join(f"WHEN '{k}' THEN {v}" for k, v in text.LSP_KINDS.items())
+_URI = r"CASE WHEN starts_with(replace(file_path, '\', '/'), '/') THEN 'file://' ELSE 'file:///' END || replace(replace(replace(replace(file_path, '\', '/'), '%', '%25'), ' ', '%20'), '#', '%23')"
+_LINE = "greatest(coalesce(start_line, 1) - 1, 0)"
+# names that sanitizing changes are looked up in their clean form; each has a symbol of that name here
+_DEF = f"WITH {_NQ}, d AS ({_EXACT})"
+
+
+@query("editor_definition", f"{_DEF} SELECT query_id, {_URI} AS uri, {_LINE} AS line FROM d JOIN symbols ON symbol_id = id")
 def editor_definition(spark, sf):
     s = table(spark, sf, "symbols")
     q = s.where("id % 50 = 0 and name is not null").select(F.col("id").alias("query_id"), F.col("name").alias("text"))
     return editor.definition(q, s).select("query_id", "uri", F.col("range.start.line").alias("line"))
 
 
-@query("workspace_symbols")
+@query("workspace_symbols", f"WITH h AS ({_hybrid(50)}) SELECT query_id, rank, name, CASE lower(type) {_LSP} ELSE 13 END AS kind, {_URI} AS uri FROM h JOIN symbols ON symbol_id = id")
 def workspace_symbols(spark, sf):
     return editor.workspace_symbols(text_queries(spark), table(spark, sf, "symbols")).select("query_id", "rank", "name", "kind", "uri")
 
 
-@query("editor_hover")
+@query(
+    "editor_hover",
+    f"""{_DEF} SELECT query_id, array_to_string(list_filter([
+  '```pascal' || chr(10) || array_to_string(list_filter([CASE WHEN trim(visibility) <> '' THEN visibility END, type, coalesce(CASE WHEN trim(full_name) <> '' THEN full_name END, name)], lambda x: x IS NOT NULL), ' ') || chr(10) || '```',
+  CASE WHEN coalesce(trim(parent_class), '') <> '' OR coalesce(trim(implemented_interfaces), '') <> '' THEN '(' || array_to_string(list_filter([CASE WHEN trim(parent_class) <> '' THEN parent_class END, regexp_replace(CASE WHEN trim(implemented_interfaces) <> '' THEN implemented_interfaces END, '\\s*,\\s*', ', ', 'g')], lambda x: x IS NOT NULL), ', ') || ')' END,
+  CASE WHEN trim(comments) <> '' THEN comments END, '*' || file_path || '*'], lambda x: x IS NOT NULL), chr(10) || chr(10)) AS markdown FROM d JOIN symbols ON symbol_id = id""",
+)
 def editor_hover(spark, sf):
     s = table(spark, sf, "symbols")
     q = s.where("id % 50 = 0 and name is not null").select(F.col("id").alias("query_id"), F.col("name").alias("text"))

@@ -249,7 +249,16 @@ def hybrid_semantic(spark, sf):
     return _ranked(search.hybrid(q, s, 10, vectors=near))
 
 
-@query("rerank_lexical")
+@query(
+    "rerank_lexical",
+    f"""
+WITH h AS ({_hybrid(50)}), t AS (SELECT query_id, regexp_replace(translate(trim(text), '''";', ''), ' {{2,}}', ' ', 'g') AS q FROM (VALUES {", ".join(f"({i}::BIGINT, '{t}')" for i, t in TEXT_QUERIES)}) v(query_id, text)),
+c AS (SELECT h.*, q, s.name, count(*) OVER (PARTITION BY h.query_id) AS n_all, CASE WHEN s.name IS NULL THEN coalesce(s.content, '') WHEN s.content IS NULL THEN s.name ELSE s.name || chr(10) || s.content END AS doc FROM h JOIN t ON h.query_id = t.query_id JOIN symbols s ON s.id = h.symbol_id),
+f AS (SELECT query_id, symbol_id, is_exact, CASE WHEN n_all <= 5 THEN match_type ELSE 'reranked' END AS match_type, n_all, rank AS old, CASE WHEN n_all <= 5 THEN score ELSE {SIM.format('q', 'doc')} * 0.5 + {SIM.format('q', "coalesce(name, '')")} * 0.5 END AS score FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n_all <= 5 THEN -old ELSE round(score, 9) END DESC, symbol_id) AS n FROM f)
+SELECT query_id, symbol_id, match_type, is_exact, round(score, 6) AS score, n AS rank FROM r WHERE n <= 5
+""",
+)
 def rerank_lexical(spark, sf):
     s, q = table(spark, sf, "symbols"), text_queries(spark)
     return _ranked(search.rerank(q, search.hybrid(q, s, 50), s, 5))
