@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codequarry.operators.vectors import usable
 from codequarry.session import cut
 
 TABLES, PROBES, SEED = 6, 2, 20240229
@@ -29,12 +30,6 @@ BUCKET = 4096
 MEAN_BUCKET = 24
 
 
-def usable(vector: Column, dim: int) -> Column:
-    """Exactly ``dim`` finite numbers, not all zero; NULL gives false."""
-    fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(vector) == dim) & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
-
-
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows; their length is a power of two."""
     n, d = x.shape
@@ -124,21 +119,21 @@ class _Best:
 
 
 def _hashed(reps: DataFrame, dim: int, tables: int, hashes: int, probes: int) -> DataFrame:
+    """(id, vec, codes): the unit vector, and the buckets of all tables, own before probed ones."""
     pad = 1 << (dim - 1).bit_length()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = units(b.column("vec"), pad)
-            if not len(x):
+            n = len(x)
+            if not n:
                 continue
-            raw = pa.Array.from_buffers(pa.binary(dim * 4), len(x), [None, pa.py_buffer(np.ascontiguousarray(x[:, :dim]).tobytes())]).cast(pa.binary())
-            for t in range(tables):
-                got = buckets(x, t, hashes, probes)
-                for p in range(got.shape[1]):
-                    n = len(x)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(got[:, p]), pa.array(np.full(n, int(p > 0), np.int32)), b.column("id"), raw], ["tab", "bucket", "role", "id", "vec"])
+            raw = pa.Array.from_buffers(pa.binary(dim * 4), n, [None, pa.py_buffer(np.ascontiguousarray(x[:, :dim]).tobytes())]).cast(pa.binary())
+            codes = np.concatenate([buckets(x, t, hashes, probes) for t in range(tables)], axis=1)
+            ends = pa.array(np.arange(0, codes.size + 1, codes.shape[1], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([b.column("id"), raw, pa.ListArray.from_arrays(ends, pa.array(codes.reshape(-1)))], ["id", "vec", "codes"])
 
-    return reps.mapInArrow(run, "tab int, bucket long, role int, id long, vec binary")
+    return reps.mapInArrow(run, "id long, vec binary, codes array<long>")
 
 
 def _compared(asked: DataFrame, dim: int, k: int, least: float) -> DataFrame:
@@ -196,7 +191,9 @@ def class_neighbours(reps: DataFrame, dim: int, k: int, least: float, tables: in
     """(src, dst, sim, rank) of the best ``k`` of each distinct vector; ``reps`` has id and vec."""
     n = reps.count()
     hashes = max(1, min(6, round(math.log(max(n, 2) / MEAN_BUCKET) / math.log(2 * (1 << (dim - 1).bit_length())) + 0.35)))
-    hashed = cut(_hashed(reps, dim, tables, hashes, probes))
+    once = cut(_hashed(reps, dim, tables, hashes, probes))  # one row a vector; copies for the buckets are made after it
+    each = probes + 1
+    hashed = once.select("id", "vec", F.posexplode("codes").alias("at", "bucket")).select(F.floor(F.col("at") / each).cast("int").alias("tab"), "bucket", (F.col("at") % each > 0).cast("int").alias("role"), "id", "vec")
     hot = hashed.where("role = 0").groupBy(F.col("tab").alias("h_tab"), F.col("bucket").alias("h_bucket")).agg(F.count("*").alias("m")).where(F.col("m") > BUCKET).select("h_tab", "h_bucket", F.ceil(F.col("m") / (BUCKET / 2)).cast("int").alias("blocks"))
     hot = cut(hot)
     if hot.limit(1).count():

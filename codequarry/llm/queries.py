@@ -31,7 +31,16 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 REPEATED = 0.30
 
 
-@query("p10_found")
+@query(
+    "p10_found",
+    r"""
+WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '\p{L}+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) > 5),
+g AS (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, array_to_string(w[i:i + 4], ' ')) AS first FROM i),
+m AS (SELECT doc_id, count(DISTINCT i + o) AS c FROM g, (SELECT unnest(range(0, 5)) AS o) WHERE i > first GROUP BY 1)
+SELECT t.doc_id FROM t JOIN m ON t.doc_id = m.doc_id WHERE c::DOUBLE / len(w) >= 0.3
+""",
+)
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     shares = repetition.repetition(table(spark, sf, "documents"), "doc_id", "text", [F.col("lang"), F.col("source")])
     return repetition.flag_repetitive(shares, ceiling=REPEATED).where(F.col("repetitive") & (F.col("share") >= REPEATED)).select("doc_id")
@@ -67,7 +76,15 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return handwritten.not_handwritten(table(spark, sf, "symbols"), table(spark, sf, "indexed_folders")).where("not_handwritten").select("file_path")
 
 
-@query("p1_found")
+@query(
+    "p1_found",
+    """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM vec_embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(a.e, b.e) AS sim FROM v a JOIN v b ON a.vec_id <> b.vec_id),
+r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS n FROM s WHERE sim >= 0.9)
+SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE n <= 10
+""",
+)
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     near = neighbours.similar(table(spark, sf, "vec_embeddings"), k=10, least=0.90)
     return near.select(F.least("src", "dst").alias("vec_a"), F.greatest("src", "dst").alias("vec_b")).distinct()
@@ -82,3 +99,19 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     plan = table(spark, sf, "mix_plan")
     return mixing.shares(mixing.mix(table(spark, sf, "documents"), plan), plan)
+
+
+@query("p5_pairs")
+def p5_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return pairs.function_pairs(table(spark, sf, "symbols"))
+
+
+@query("p8_spans")
+def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.contamination(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+@query("p10_cutoffs")
+def p10_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
+    shares = repetition.repetition(table(spark, sf, "documents"), "doc_id", "text", [F.col("lang"), F.col("source")])
+    return repetition.flag_repetitive(shares).select("doc_id", "share", "cutoff", "repetitive")
