@@ -107,3 +107,19 @@ def tag_sets(df: DataFrame, key: str, csv: str) -> DataFrame:
 def running_mean(log: DataFrame, key: str, at: str, tie: str, value: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(at, tie).rowsBetween(Window.unboundedPreceding, 0)
     return log.select(key, tie, F.round(F.avg(value).over(w), 6).alias("mean_so_far"))
+
+
+def package_report(packages: DataFrame, package_files: DataFrame) -> DataFrame:
+    """(package_name, framework, category, files) by name; packages without files count 0."""
+    n = package_files.groupBy(F.col("package_name").alias("_p")).agg(F.count("*").alias("n"))
+    return packages.join(n, F.col("package_name") == F.col("_p"), "left").select("package_name", "framework", "category", F.coalesce("n", F.lit(0)).alias("files")).orderBy("package_name")
+
+
+def folder_report(folders: DataFrame) -> DataFrame:
+    """The rows of indexed folders, the latest first."""
+    return folder_throughput(folders).orderBy(F.col("indexed_at").desc_nulls_last(), "folder_path")
+
+
+def cache_report(cache: DataFrame) -> DataFrame:
+    """Cached queries in the order in which they are checked again: most hits first."""
+    return cache.orderBy(F.col("hit_count").desc_nulls_last(), "query_hash")

@@ -192,3 +192,15 @@ def transitive_uses(edges: DataFrame, roots: DataFrame, most: int = 1000) -> Dat
 def first_by(df: DataFrame, key: str, *order: Column) -> DataFrame:
     w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def orphan_mappings(detected: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(ordinal, file, pattern, framework, reason) to add for files that only their imports or folders tell and that no override names.
+
+    ``detected`` comes from ``detect``. Entries are numbered after the last override, by path.
+    """
+    last = overrides.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("last"))
+    todo = detected.where(F.col("tier").isin("uses", "folder")).select(F.translate("file_path", "\\", "/").alias("file"), "framework", F.concat(F.lit("detected from "), "tier").alias("reason"))
+    # the list is written for people to check, one file for all of it
+    numbered = todo.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("file")))
+    return numbered.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("n")).cast("int").alias("ordinal"), "file", F.lit(None).cast("string").alias("pattern"), "framework", "reason")

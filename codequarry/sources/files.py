@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -122,3 +123,14 @@ def overrides(spark: SparkSession, path: str) -> DataFrame:
 
 def stem(path: Column) -> Column:
     return F.regexp_replace(file_name(path), r"\.[^.]*$", "")
+
+
+def write_overrides(entries: DataFrame, path: str) -> None:
+    """Writes (ordinal, file, pattern, framework, reason) as one mapping file {overrides: [...]}, in order, without NULL fields."""
+    rows = entries.orderBy("ordinal").toLocalIterator()
+    with open(path, "w", encoding="utf-8") as f:
+        f.write('{"overrides": [')
+        for i, r in enumerate(rows):
+            e = {k: v for k, v in r.asDict().items() if k != "ordinal" and v is not None}
+            f.write((",\n  " if i else "\n  ") + json.dumps(e, ensure_ascii=False))
+        f.write("\n]}\n")

@@ -89,3 +89,26 @@ def test_glossary(spark):
     t = spark.createDataFrame([(1, "Facturas al CIERRE de mes"), (2, "prefactura"), (3, None)], "id long, t string")
     got = {r["id"]: (r["spanish_terms"], r["domain_tags"], r["n_terms"]) for r in intel.enrich(t, "id", "t", g).collect()}
     assert got == {1: ('["cierre de mes","factura"]', "acc,billing", 2), 2: ("[]", "", 0), 3: ("[]", "", 0)}
+
+
+def test_orphan_mappings_round_trip(spark, tmp_path):
+    from codequarry.sources import files
+
+    detected = spark.createDataFrame([("C:\\b.pas", "VCL", "uses", None), ("c:/a.pas", "RTL", "folder", None), ("x", "RTL", "tag", None)], "file_path string, framework string, tier string, warning string")
+    ov = spark.createDataFrame([(3, "x", None, "RTL")], "ordinal int, file string, pattern string, framework string")
+    new = intel.orphan_mappings(detected, ov)
+    assert [(r["ordinal"], r["file"]) for r in new.orderBy("ordinal").collect()] == [(4, "C:/b.pas"), (5, "c:/a.pas")]
+    files.write_overrides(new, str(tmp_path / "m.json"))
+    back = files.overrides(spark, str(tmp_path / "m.json")).collect()
+    assert [(r["ordinal"], r["file"], r["framework"], r["pattern"]) for r in back] == [(0, "C:/b.pas", "VCL", None), (1, "c:/a.pas", "RTL", None)]
+
+
+def test_reports(spark):
+    p = spark.createDataFrame([("b", "VCL", None), ("a", "RTL", "x")], "package_name string, framework string, category string")
+    f = spark.createDataFrame([("b", "f1"), ("b", "f2")], "package_name string, file_path string")
+    assert [(r["package_name"], r["files"]) for r in analytics.package_report(p, f).collect()] == [("a", 0), ("b", 2)]
+    c = spark.createDataFrame([("x", 1), ("y", 5), ("z", None)], "query_hash string, hit_count long")
+    assert [r["query_hash"] for r in analytics.cache_report(c).collect()] == ["y", "x", "z"]
+    d = spark.createDataFrame([("a", datetime(2024, 1, 1), 1, 10, 4), ("b", datetime(2024, 1, 2), 1, 10, 0)], "folder_path string, indexed_at timestamp, files_count int, chunks_count int, duration_seconds int")
+    assert [(r["folder_path"], r["per_second"]) for r in analytics.folder_report(d).collect()] == [("b", None), ("a", 2.5)]
+    assert analytics.folder_totals(d.limit(0)).first()["files"] == 0

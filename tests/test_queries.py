@@ -1,0 +1,22 @@
+import pytest
+
+from codequarry.queries import QUERIES, SQL
+from tests.compare import SF, connection, needs_data, same
+
+
+@pytest.fixture(scope="module")
+def c():
+    return connection()
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_equals_sql(spark, c, name):
+    same(spark, c, QUERIES[name], SQL[name])
+
+
+@needs_data
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_query_runs(spark, name):
+    df = QUERIES[name](spark, SF)
+    assert df.columns and df.count() >= 0
