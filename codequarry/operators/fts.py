@@ -13,10 +13,17 @@ def tokens(c: Column) -> Column:
     return F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([A-Za-z0-9_]+)"), F.lit(1)), F.lower)
 
 
-def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """(term, symbol_id, tf, n_tokens): one row per term and document."""
+def postings(docs: DataFrame, id_col: str, text: Column, terms: DataFrame | None = None) -> DataFrame:
+    """(term, symbol_id, n_tokens, tf): one row per term and document; with ``terms`` (term) of those terms only, dropped before they are counted."""
     t = docs.select(F.col(id_col).alias("symbol_id"), tokens(text).alias("toks")).withColumn("n_tokens", F.size("toks"))
-    return t.select("symbol_id", "n_tokens", F.explode("toks").alias("term")).groupBy("term", "symbol_id", "n_tokens").agg(F.count("*").alias("tf"))
+    each = t.select("symbol_id", "n_tokens", F.explode("toks").alias("term"))
+    if terms is not None:
+        each = each.join(terms.select("term").distinct(), "term", "left_semi")
+    return each.groupBy("term", "symbol_id", "n_tokens").agg(F.count("*").alias("tf"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    return queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
 
 
 def bm25(queries: DataFrame, index: DataFrame, n_docs: int, mean_tokens: float, n: int, every: bool = False) -> DataFrame:

@@ -296,7 +296,7 @@ def _bm25(spark, sf, every):
     s = table(spark, sf, "symbols")
     whole = F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
     n, mean = fts.collection(s, whole)
-    return fts.bm25(text_queries(spark), fts.postings(s, "id", whole), n, mean, 10, every).select("query_id", "symbol_id", F.round("score", 4).alias("score"))
+    return fts.bm25(text_queries(spark), fts.postings(s, "id", whole, fts.query_terms(text_queries(spark))), n, mean, 10, every).select("query_id", "symbol_id", F.round("score", 4).alias("score"))
 
 
 @query("fts_bm25", _BM25.format("true"))
