@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codequarry.operators import fts, search, vectors
 from codequarry.query_sets.scalar import KW, SIM
 from codequarry.registry import query
-from codequarry.session import table
+from codequarry.session import cut, table
 
 TEXT_QUERIES = [(1, "parse index"), (2, "cache stream files"), (3, "TInvoice"), (4, "Create"), (5, "validate column"), (6, "report while printing"), (7, "almacén envío"), (8, "x"), (9, "FieldByName AsInteger"), (10, "near midnight"), (11, "liste menü"), (12, "select toolbar from wizard")]
 _TQ = "text_queries(query_id, text) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in TEXT_QUERIES) + ")"
@@ -296,7 +296,8 @@ def _bm25(spark, sf, every):
     s = table(spark, sf, "symbols")
     whole = F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
     n, mean = fts.collection(s, whole)
-    return fts.bm25(text_queries(spark), fts.postings(s, "id", whole, fts.query_terms(text_queries(spark))), n, mean, 10, every).select("query_id", "symbol_id", F.round("score", 4).alias("score"))
+    index = cut(fts.postings(s, "id", whole, fts.query_terms(text_queries(spark))))  # read for the terms' frequencies and for the scores
+    return fts.bm25(text_queries(spark), index, n, mean, 10, every).select("query_id", "symbol_id", F.round("score", 4).alias("score"))
 
 
 @query("fts_bm25", _BM25.format("true"))
