@@ -483,7 +483,10 @@ def parse(text: str) -> tuple[str, list[Row], list[str], str]:
 
 
 def signature(content: str) -> str:
-    """A routine's heading: up to its last semicolon before local declarations or the body; short texts as they are."""
+    """A routine's heading: up to its first semicolon outside parentheses, or to local declarations or the body; short texts as they are.
+
+    A text without such an end is given whole; one that opens with its body gives its first 300 characters.
+    """
     if len(content) < 300:
         return content
     depth = 0
@@ -494,10 +497,10 @@ def signature(content: str) -> str:
         elif t == ")":
             depth -= 1
         elif depth == 0 and t in ("var", "const", "begin", "asm"):
-            return content[: m.start()].rstrip()
+            return content[: m.start()].rstrip() or content[:300]
         elif depth == 0 and t == ";":
             return content[: m.end()]
-    return content[:300]
+    return content.rstrip()
 
 
 SCHEMA = "file_path string, unit string, parse_status string, name string, full_name string, type string, container string, ancestor string, parent_class string, implemented_interfaces array<string>, visibility string, section string, is_declaration boolean, start_line int, end_line int, content string, comments string, fts_content string, uses array<string>"

@@ -27,6 +27,13 @@ def method_signatures(spark, sf):
     return s.select("id", F.length(short("content")).cast("long").alias("n"))
 
 
+@query("method_headings")
+def method_headings(spark, sf):
+    """The heading of every routine, long ones too; SQL can't scan past strings and comments, so it has none."""
+    short = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else parser.signature(t)), "string")
+    return table(spark, sf, "symbols").where("lower(type) in ('function', 'procedure')").select("id", short("content").alias("heading"))
+
+
 @query("stream_ingest", "SELECT user_id, max(event_id) AS event_id FROM events GROUP BY 1")
 def stream_ingest(spark, sf):
     out = shared_folder(spark, "stream")
