@@ -80,9 +80,16 @@ class ChangeLog:
         n = self._last("commit")
         return self.store.read(f"plan-{n:08d}")["to"] if n >= 0 else {}
 
+    def next_batch(self) -> int:
+        return self._last("commit") + 1
+
+    def pending(self) -> bool:
+        """Whether a batch is planned but not committed, so that the next run only replays it."""
+        return self.store.read(f"plan-{self.next_batch():08d}") is not None
+
     def plan(self, log: DataFrame) -> tuple[int, dict] | None:
         """The plan to run: an unfinished one as it stands, else a new one; None if there is nothing new."""
-        n = self._last("commit") + 1
+        n = self.next_batch()
         old = self.store.read(f"plan-{n:08d}")
         if old is not None:
             return n, old
