@@ -124,11 +124,36 @@ def foreign_folder(key: Column) -> Column:
     return F.arrays_overlap(parts, F.array(*map(F.lit, FOREIGN_FOLDERS)))
 
 
+def _line_sets(once: DataFrame, fids: DataFrame) -> DataFrame:
+    """(fid, lines) with the sorted distinct lines of a file."""
+    return once.join(fids, "fid", "left_semi").groupBy("fid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))
+
+
+def containment(once: DataFrame, files: DataFrame) -> DataFrame:
+    """(fid, owner) of files of which at least ``CONTAINED`` of the distinct lines stand in one third-party file, exactly.
+
+    Third-party files with the same lines are one owner, the lowest of them. Of n lines ``need``
+    must be shared, so one of the n - need + 1 rarest is shared with any owner that counts: only
+    those are looked up, which leaves out lines that stand everywhere. All owners found that way
+    are compared; the largest share decides, then the lowest owner.
+    """
+    owners = cut(_line_sets(once, files.where("known").select("fid")).groupBy("lines").agg(F.min("fid").alias("owner")).select("owner", F.col("lines").alias("theirs")))
+    index = owners.select("owner", F.explode("theirs").alias("line"))
+    open_files = files.where(~F.col("known") & ~F.col("std") & (F.col("n_lines") >= LEAST_LINES))
+    mine = cut(_line_sets(once, open_files.select("fid")).withColumn("need", F.ceil(F.size("lines") * F.lit(CONTAINED)).cast("int")))
+    counts = index.groupBy("line").agg(F.count("*").alias("n"))
+    ranked = mine.select("fid", "need", F.explode("lines").alias("line")).join(counts, "line", "left").groupBy("fid", "need").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "line"))).alias("r"))
+    rare = ranked.select("fid", F.explode(F.slice("r", F.lit(1), F.size("r") - F.col("need") + 1)).alias("x")).where("x.n > 0").select("fid", F.col("x.line").alias("line"))
+    pairs = rare.join(index, "line").select("fid", "owner").distinct()
+    both = pairs.join(mine, "fid").join(owners, "owner").where(F.size("theirs") >= F.col("need")).withColumn("shared", F.size(F.array_intersect("lines", "theirs")))
+    return both.where(F.col("shared") >= F.col("need")).groupBy("fid").agg(F.max(F.struct("shared", (-F.col("owner").cast("decimal(20,0)")).alias("low"), "owner")).alias("m")).select("fid", "m.owner")
+
+
 def not_handwritten(symbols: DataFrame, folders: DataFrame) -> DataFrame:
     """(file_path, third_party, contained_in, generated, minified, blob, not_handwritten) for each code file, as spelled.
 
-    ``contained_in`` is the hash of the third-party file that holds most of its lines. Rows that
-    are repeated count once. NULL contents and comments count as empty; rows without a path are
+    ``contained_in`` is the hash of the third-party file that holds most of its lines, the lowest of
+    those with the same lines. Rows that are repeated count once. NULL contents and comments count as empty; rows without a path are
     left out; an empty table gives no rows. ``source_category`` only counts as one vote in its tree.
     """
     rows = cut(_rows(symbols))
@@ -160,17 +185,6 @@ def not_handwritten(symbols: DataFrame, folders: DataFrame) -> DataFrame:
             ((F.col("blob") >= BLOB_CHARS) & (F.col("blob") >= BLOB_SHARE * F.col("chars"))).alias("blob"),
         )
     )
-    # the inverted index: each line of third-party code leads to one of its files
-    lines = once.select("fid", F.explode("lines").alias("line"))
-    index = lines.join(files.where("known").select("fid"), "fid", "left_semi").groupBy("line").agg(F.min("fid").alias("owner"))
-    open_files = files.where(~F.col("known") & ~F.col("std") & (F.col("n_lines") >= LEAST_LINES))
-    own = lines.join(open_files.select("fid"), "fid", "left_semi")
-    hits = own.join(index, "line").groupBy("fid", "owner").agg(F.count("*").alias("c")).groupBy("fid").agg(F.sum("c").alias("any"), F.max(F.struct("c", "owner")).alias("m"))
-    pairs = cut(hits.join(open_files.select("fid", "n_lines"), "fid").where(F.col("any") >= CONTAINED * F.col("n_lines")).select("fid", F.col("m.owner").alias("owner")))
-    # exact containment in that file
-    mine = lines.join(pairs, "fid").distinct()
-    theirs = lines.join(pairs.select(F.col("owner").alias("fid")).distinct(), "fid", "left_semi").select(F.col("fid").alias("o_fid"), F.col("line").alias("o_line")).distinct()
-    shared = mine.join(theirs, (F.col("owner") == F.col("o_fid")) & (F.col("line") == F.col("o_line")), "left").groupBy("fid", "owner").agg(F.avg(F.col("o_line").isNotNull().cast("double")).alias("share"))
-    inside = shared.where(F.col("share") >= CONTAINED).select(F.col("fid").alias("i_fid"), F.col("owner").alias("contained_in"))
+    inside = containment(once, files).select(F.col("fid").alias("i_fid"), F.col("owner").alias("contained_in"))
     out = files.join(inside, F.col("fid") == F.col("i_fid"), "left").withColumn("third_party", F.col("known") | F.col("contained_in").isNotNull())
     return out.select("file_path", "third_party", "contained_in", "generated", "minified", "blob", (F.col("third_party") | F.col("generated") | F.col("minified") | F.col("blob")).alias("not_handwritten"))
