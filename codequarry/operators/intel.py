@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -176,11 +178,14 @@ def dependency_pairs(units: DataFrame) -> DataFrame:
     return units.select(F.lower("name").alias("src"), F.explode(uses_units(F.col("content"))).alias("dst")).where("src is not null").distinct()
 
 
-def transitive_uses(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
-    """(root, unit, distance) of all units reachable from roots (root); breadth first, each unit once, so circles end."""
+def transitive_uses(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """(root, unit, distance) of all units reachable from roots (root); breadth first, each unit once, so circles end.
+
+    ``most`` limits the levels; by default all are taken.
+    """
     front = cut(roots.select("root", F.col("root").alias("unit"), F.lit(0).alias("distance")).distinct())
     seen = front
-    for d in range(1, most):
+    for d in count(1) if most is None else range(1, most):
         nxt = front.join(edges, F.col("unit") == F.col("src")).select("root", F.col("dst").alias("unit")).distinct().join(seen.select("root", "unit"), ["root", "unit"], "left_anti")
         front = cut(nxt.withColumn("distance", F.lit(d)))
         if not front.limit(1).count():

@@ -119,6 +119,16 @@ def framework_coalesce(spark, sf):
     return i.detect(s.where("type = 'unit'").select("file_path", "content"), overrides(spark), pk)
 
 
+@query("framework_coalesce_all")
+def framework_coalesce_all(spark, sf):
+    """framework_coalesce with a package table of all symbols."""
+    from codequarry.functions.paths import path_key
+
+    s = table(spark, sf, "symbols").where("file_path is not null")
+    pk = s.where("framework is not null").groupBy(path_key(F.col("file_path")).alias("file_key")).agg(F.max("framework").alias("package_framework"))
+    return i.detect(s.where("type = 'unit'").select("file_path", "content"), overrides(spark), pk)
+
+
 _EDGES = f"e AS (SELECT DISTINCT lower(name) AS src, unnest({_USES}) AS dst FROM symbols WHERE type = 'unit' AND content IS NOT NULL AND name IS NOT NULL)"
 
 
@@ -136,6 +146,22 @@ def package_closure(spark, sf):
     return i.reach(i.dependency_pairs(s)).where("src like 'ub%'")
 
 
+def _closure(spark, sf):
+    s = table(spark, sf, "symbols").where("type = 'unit' and content is not null and name is not null")
+    return i.reach(i.dependency_pairs(s))
+
+
+@query("unit_closure_all")
+def unit_closure_all(spark, sf):
+    """unit_closure from every unit; its recursion in SQL is too slow for that."""
+    return _closure(spark, sf).where("src <> dst").select(F.col("src").alias("root"), F.col("dst").alias("unit"))
+
+
+@query("package_closure_all")
+def package_closure_all(spark, sf):
+    return _closure(spark, sf)
+
+
 PACKAGES = [("app", 0, "vcl"), ("app", 1, "core"), ("core", 0, "rtl"), ("core", 1, "dbrtl"), ("ui", 0, "core"), ("ui", 1, "fmxbase"), ("mixed", 0, "ui"), ("mixed", 1, "app"), ("odd", 0, "unknownlib"), ("tagged", 0, "unknownlib"), ("tagged", 1, "rtl"), ("a", 0, "b"), ("b", 0, "a"), ("c", 0, "a"), ("c", 1, "app"), ("none", 0, "")]
 
 

@@ -241,11 +241,22 @@ SELECT query_hash, bool_and(s.id IS NOT NULL AND (coalesce(rhash, '') = '' OR co
 """,
 )
 def cache_validate(spark, sf):
-    i = F.col("id")
     s = table(spark, sf, "symbols")
+    return _validated(s.where("id % 3 = 0"), s)
+
+
+@query("cache_validate_all")
+def cache_validate_all(spark, sf):
+    """cache_validate with a cache of all symbols."""
+    s = table(spark, sf, "symbols")
+    return _validated(s, s)
+
+
+def _validated(cached, s):
+    i = F.col("id")
     rid = F.when(i % 53 == 0, i + 100000000).otherwise(i).cast("string")
     item = F.when(i % 5 == 0, rid).otherwise(F.concat(rid, F.lit(":"), F.when(i % 31 == 0, "x").otherwise(F.coalesce("content_hash", F.lit("")))))
-    c = s.where(i % 3 == 0).groupBy(F.md5(F.concat(F.lit("q"), (i % 997).cast("string")).cast("binary")).alias("query_hash")).agg(F.array_join(F.collect_list(item), ",").alias("result_ids"), F.count("*").alias("result_count"))
+    c = cached.groupBy(F.md5(F.concat(F.lit("q"), (i % 997).cast("string")).cast("binary")).alias("query_hash")).agg(F.array_join(F.collect_list(item), ",").alias("result_ids"), F.count("*").alias("result_count"))
     return m.validate_cache(c, s)
 
 
