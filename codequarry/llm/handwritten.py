@@ -76,10 +76,10 @@ def look(kind: str, content: str, comments: str) -> tuple:
         idents, short = len(own) + len(few), len(few)
     template, stem = 0, None
     if kind != "unit":
-        t = NUMBER.sub("9", STRING.sub("S", content[:2000]))
+        t = NUMBER.sub("9", STRING.sub("S", content))
         t = IDENT.sub(lambda m: m.group().lower() if m.group().lower() in KEYWORDS else "x", t)
         template = h64(t)
-        m = re.search(r"[A-Za-z_][A-Za-z_.]*?(?=\d)\d+[A-Za-z_]*", content[:200])
+        m = re.search(r"[A-Za-z_][A-Za-z_.]*?(?=\d)\d+[A-Za-z_]*", content[len(head) : len(head) + 200])
         if m and m.start() < 60:
             stem = h64(re.sub(r"\d+", "9", m.group()))
     return generated, foreign, chars, blob, idents, short, spaces, template, stem, lines
