@@ -1,9 +1,9 @@
 """Evaluation passages inside training texts.
 
 The items' n-grams of normalised words go out as a hash set, in blocks of bounded size.
-Every window of every text is looked up in it; hits are grown to exact runs, runs are
-chained over small gaps, and a chain counts if it covers enough words of the item with few
-edits. Case, accents, punctuation, markup, quote marks and line breaks don't matter.
+Every window of every text is looked up in it; hits on one diagonal are exact runs, and each
+run that is long enough is extended both ways by an exact alignment. A passage counts if it
+covers enough words of the item with few edits. Case, accents, punctuation, markup, quote marks and line breaks don't matter.
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ SEED = 5
 LEAST_WORDS, MAX_EDITS = 25, 0.11
 #: Most words of items in one broadcast; larger sets are searched in several blocks.
 BLOCK_WORDS = 2_000_000
-#: Widest gap, in words, between two runs of one chain.
-GAP = 5
 
 WORD = re.compile(r"[^\W_]+(?:[̀-ͯ]+[^\W_]*)*")
 MARKS = re.compile("[̀-ͯ]+")
@@ -102,39 +100,59 @@ class Index:
         return self
 
 
-def _grow(doc: list[int], item: list[int], d: int, i: int) -> tuple[int, int, int]:
-    """The exact run around a seed: start in the text, start in the item, length."""
-    a = 0
-    while d - a > 0 and i - a > 0 and doc[d - a - 1] == item[i - a - 1]:
-        a += 1
-    b = 0
-    while d + b < len(doc) and i + b < len(item) and doc[d + b] == item[i + b]:
-        b += 1
-    return d - a, i - a, a + b
-
-
-def _edge(doc: list[int], item: list[int], d: int, i: int, step: int, edits: int) -> list[tuple[int, int, int]]:
-    """Words of the item and of the text gained beyond a run's end, by edits spent."""
-    out, gain_i, gain_d = [], 0, 0
-    ok = lambda d, i: 0 <= d < len(doc) and 0 <= i < len(item) and doc[d] == item[i]
-    for spent in range(1, edits + 1):
-        best = (0, 0, 0)
-        for di, dd in ((1, 1), (1, 0), (0, 1)):
-            k = 0
-            while ok(d + step * (dd + k), i + step * (di + k)):
-                k += 1
-            best = max(best, (k, di, dd))
-        k, di, dd = best
-        if not k:
-            break
-        d, i = d + step * (dd + k), i + step * (di + k)
-        gain_i, gain_d = gain_i + di + k, gain_d + dd + k
-        out.append((gain_i, gain_d, spent))
+def least_run(least: int, most: float) -> int:
+    """Words of the longest exact run that any leaked passage holds at least.
+
+    A passage of ``2 * least`` words or more splits in two of ``least`` or more, and one of them
+    is no more edited than the whole; so only shorter ones matter, and e edits leave e + 1 runs.
+    """
+    return min(-(-(s - int(most * s)) // (int(most * s) + 1)) for s in range(least, 2 * least))
+
+
+def _reach(doc: list[int], item: list[int], d: int, i: int, step: int, edits: int) -> list[tuple[int, int]]:
+    """Most words of the item (and those of the text) gained from (d, i) on, for 0, 1, ... edits.
+
+    The alignment is exact: the furthest point of every diagonal is kept for each number of
+    edits. Gains end with equal words, so an altered word at the edge gains nothing.
+    """
+    room_d, room_i = (len(doc) - d, len(item) - i) if step > 0 else (d + 1, i + 1)
+    far, out = {0: 0}, [(0, 0)]
+    for e in range(1, edits + 1):
+        now, best = {}, out[-1]
+        for k in range(-e, e + 1):  # words of the text less words of the item
+            x = max(far.get(k, -2) + 1, far.get(k + 1, -2) + 1, far.get(k - 1, -1))
+            if x < 0 or x > room_i or not 0 <= x + k <= room_d:
+                continue
+            start = x
+            while x < room_i and x + k < room_d and doc[d + step * (x + k)] == item[i + step * x]:
+                x += 1
+            now[k] = x
+            if x > start and x > best[0]:
+                best = (x, x + k)
+        out.append(best)
+        far = now
     return out
 
 
-def leaks(doc: list[int], index: Index, least: int = LEAST_WORDS, most: float = MAX_EDITS) -> list[tuple[int, int, int, int, int]]:
-    """(item, first word, end word, words of the item, edits) of the longest chain for each leaked item."""
+def _window(doc: list[int], item: list[int], d: int, i: int, run: int, least: int, most: float, edits: int) -> tuple[int, int, int, int] | None:
+    """(first word, end word, words of the item, edits) of the longest passage around an exact run."""
+    left, right = _reach(doc, item, d - 1, i - 1, -1, edits), _reach(doc, item, d + run, i + run, 1, edits)
+    best = None
+    for a, (li, ld) in enumerate(left):
+        for b, (ri, rd) in enumerate(right[: edits + 1 - a]):
+            n = run + li + ri
+            if n >= least and a + b <= most * n and (best is None or (n, -a - b) > (best[2], -best[3])):
+                best = (d - ld, d + run + rd, n, a + b)
+    return best
+
+
+def leaks(doc: list[int], index: Index, least: int = LEAST_WORDS, most: float = MAX_EDITS, every: bool = False) -> list[tuple[int, int, int, int, int]]:
+    """(item, first word, end word, words of the item, edits) of the longest passage of each leaked item, or of ``every`` passage.
+
+    Seeds on one diagonal that follow each other are one exact run. Any passage holds a run of
+    ``least_run`` words; each such run is extended both ways by an exact alignment within the
+    edits that the whole passage may have. Runs inside a passage found already are passed over.
+    """
     n = index.n
     if len(doc) < n or not len(index.keys):
         return []
@@ -146,58 +164,43 @@ def leaks(doc: list[int], index: Index, least: int = LEAST_WORDS, most: float =
     g = _grams(ids, n)
     at = np.minimum(np.searchsorted(index.keys, g), len(index.keys) - 1)
     hit = np.flatnonzero(whole & (index.keys[at] == g))
-    if not len(hit):
+    run_least = least_run(least, most)
+    if len(hit) < run_least - n + 1:
         return []
     # every (word of the text, item, word of the item) that a hit stands for
     lo, sizes = index.first[at[hit]], index.ends[at[hit]] - index.first[at[hit]]
     place = np.repeat(lo - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(int(sizes.sum()))
-    word, item_no = np.repeat(hit, sizes), index.place_item[place]
-    # s words with e edits hold at least s - e - (n - 1) * (e + 1) seeds; least over all s, as e <= most * s
-    floor = min(s - int(most * s) - (n - 1) * (int(most * s) + 1) for s in range(least, 4 * least))
-    often = np.flatnonzero(np.bincount(item_no, minlength=len(index.names)) >= max(1, floor))
-    seeds = {}
-    for k in often.tolist():
-        own = item_no == k
-        seeds[index.names[k]] = list(zip(word[own].tolist(), index.place_word[place[own]].tolist()))
-    out = []
-    for item, found in seeds.items():
-        words = index.items[item]
-        runs, seen = [], set()
-        for d, i in sorted(found):
-            if (d, i) in seen:
-                continue
-            r = _grow(doc, words, d, i)
-            if r[2] >= n:
-                runs.append(r)
-                seen.update((r[0] + x, r[1] + x) for x in range(r[2]))
-        best = None
-        for s in range(len(runs)):
-            d0, i0, k = runs[s]
-            d1, i1, edits = d0 + k, i0 + k, 0
-            t = s
-            while True:
-                room = int(most * (i1 - i0 + 2 * n))
-                lefts = [(0, 0, 0), *_edge(doc, words, d0 - 1, i0 - 1, -1, min(3, room))]
-                rights = [(0, 0, 0), *_edge(doc, words, d1, i1, 1, min(3, room))]
-                for li, ld, le in lefts:
-                    for ri, rd, re_ in rights:
-                        span, e = i1 - i0 + li + ri, edits + le + re_
-                        if span >= least and e <= most * span and (best is None or (span, -e) > (best[2], -best[3])):
-                            best = (d0 - ld, d1 + rd, span, e)
-                after = None
-                for u in range(t + 1, len(runs)):
-                    d, i, k = runs[u]
-                    gd, gi = d - d1, i - i1
-                    lap = max(0, -gd, -gi)
-                    if lap < k and gd + lap <= GAP and gi + lap <= GAP and k - lap >= 1:
-                        cost = max(gd + lap, gi + lap)
-                        if after is None or cost < after[0]:
-                            after = (cost, u, d + k, i + k)
-                if after is None:
-                    break
-                edits, t, d1, i1 = edits + after[0], after[1], after[2], after[3]
-        if best is not None:
-            out.append((item, *best))
+    word, item_no, item_word = np.repeat(hit, sizes), index.place_item[place], index.place_word[place]
+    order = np.lexsort((word, word - item_word, item_no))
+    word, item_no, item_word = word[order], item_no[order], item_word[order]
+    new = np.ones(len(word), bool)
+    new[1:] = (item_no[1:] != item_no[:-1]) | (np.diff(word - item_word) != 0) | (np.diff(word) != 1)
+    first = np.flatnonzero(new)
+    length = np.diff(np.append(first, len(word))) + n - 1
+    good = length >= run_least
+    runs = sorted(zip(item_no[first[good]].tolist(), word[first[good]].tolist(), item_word[first[good]].tolist(), length[good].tolist()))
+    out, now, found, end = [], None, [], 0
+
+    def close() -> None:
+        if found:
+            out.extend((index.names[now], *f) for f in (found if every else [max(found, key=lambda f: (f[2], -f[3], -f[0]))]))
+
+    few = int(most * (2 * least - 1))
+    for item, d, i, k in runs:
+        if item != now:
+            close()
+            now, found, end = item, [], 0
+        if d + k <= end:
+            continue
+        words = index.items[index.names[item]]
+        if doc[d : d + k] != words[i : i + k]:  # two n-grams with one key
+            continue
+        w = _window(doc, words, d, i, k, least, most, few)
+        if w is not None:
+            w = max(w, _window(doc, words, d, i, k, least, most, int(most * len(words))) or w, key=lambda f: (f[2], -f[3]))
+            found.append(w)
+            end = max(end, w[1])
+    close()
     return out
 
 
@@ -264,7 +267,7 @@ def remove_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
                     if t:
                         at = [(m.start(), m.end(), ids[m.group()]) for m in WORD.finditer(without_markup(t))]
                         a = a or len(at)
-                        spans = sorted((f[1], f[2]) for f in leaks([x[2] for x in at], index))
+                        spans = sorted((f[1], f[2]) for f in leaks([x[2] for x in at], index, every=True))
                         keep, end = [], 0
                         for lo, hi in spans:
                             if at[hi - 1][1] <= end:

@@ -115,3 +115,8 @@ def p8_spans(spark: SparkSession, sf: str) -> DataFrame:
 def p10_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     shares = repetition.repetition(table(spark, sf, "documents"), "doc_id", "text", [F.col("lang"), F.col("source")])
     return repetition.flag_repetitive(shares).select("doc_id", "share", "cutoff", "repetitive")
+
+
+@query("p8_clean")
+def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return contamination.remove_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))

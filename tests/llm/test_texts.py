@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -103,26 +104,62 @@ def test_leak_blocks_and_edges(spark, monkeypatch):
     assert leak(spark, *texts, items=[]) == [] and leak(spark, items=items) == []
 
 
+def leaks_by_alignment(doc, item, least=25, most=contamination.MAX_EDITS):
+    """Whether any run of item words stands in the text with few edits, by full alignments."""
+    for i in range(len(item) - least + 1):
+        prev = [0] * (len(doc) + 1)
+        for s in range(1, min(len(item) - i, 2 * least) + 1):
+            cur = [s]
+            for j, w in enumerate(doc, 1):
+                cur.append(min(prev[j - 1] + (w != item[i + s - 1]), prev[j] + 1, cur[-1] + 1))
+            prev = cur
+            if s >= least and min(cur) <= most * s:
+                return True
+    return False
+
+
+def ids_of(index, words):
+    return [index.vocabulary.get(x, -1) for x in words]
+
+
 def test_planted_leaks_by_brute_force():
-    """Random edits: what has 25 words in a row with few edits is found, by a full alignment."""
+    """Random edits: what has 25 words in a row with few edits is found, and nothing else."""
     rng = random.Random(1)
-    vocab = [f"w{i}" for i in range(300)]
-    item = [rng.choice(vocab) for _ in range(80)]
-    index = contamination.Index([(1, " ".join(item))])
-    hits = 0
-    for _ in range(300):
-        n, lo = rng.randrange(25, 60), rng.randrange(20)
-        part, edits = item[lo : lo + n], rng.randrange(0, max(1, n // 12))
-        for _ in range(edits):
-            i = rng.randrange(len(part))
+    vocab = [f"w{i}" for i in range(60)]
+    seen = set()
+    for _ in range(150):
+        item = [rng.choice(vocab) for _ in range(50)]
+        index = contamination.Index([(1, " ".join(item))])
+        n, lo = rng.randrange(22, 46), rng.randrange(5)
+        part = item[lo : lo + n]
+        for _ in range(rng.randrange(0, 6)):
+            i = rng.randrange(1, len(part) - 1)
             part[i : i + 1] = rng.choice([["new"], [], [part[i], "new"]])
-        doc = [rng.choice(vocab) for _ in range(50)] + part + [rng.choice(vocab) for _ in range(50)]
-        ids = [index.vocabulary.get(x, -1) for x in doc]
-        hits += bool(contamination.leaks(ids, index))
-    assert hits >= 294
-    for _ in range(200):  # shuffled words never leak
-        doc = rng.sample(item, len(item))
-        assert not contamination.leaks([index.vocabulary[x] for x in doc], index)
+        doc = ids_of(index, [rng.choice(vocab) for _ in range(8)] + part + [rng.choice(vocab) for _ in range(8)])
+        want = leaks_by_alignment(doc, index.items[1])
+        assert bool(contamination.leaks(doc, index)) == want
+        seen.add(want)
+    assert seen == {True, False}
+
+
+@pytest.mark.parametrize(("n", "altered"), [(28, (8, 12, 16)), (39, (12, 16, 20, 24)), (60, (8, 16, 24, 32, 40, 48))])
+def test_edits_close_together(n, altered):
+    item = [f"a{i}" for i in range(n)]
+    index = contamination.Index([(1, " ".join(item))])
+    doc = ids_of(index, ["zz" if i in altered else w for i, w in enumerate(item)])
+    assert contamination.leaks(doc, index) == [(1, 0, n, n, len(altered))]
+    twice = contamination.leaks(doc + [-1] * 30 + doc, index, every=True)
+    assert [x[1:3] for x in twice] == [(0, n), (n + 30, 2 * n + 30)]
+
+
+def test_repeated_phrases_take_linear_time():
+    phrase = "the report shows that all of the values are fine "
+    index = contamination.Index([(1, phrase * 8 + " ".join(f"q{i}" for i in range(40)))])
+    for text in (phrase + "other ", phrase):
+        doc = ids_of(index, (text * 4000).split())
+        began = time.time()
+        contamination.leaks(doc, index)
+        assert time.time() - began < 10
 
 
 def test_remove(spark):
