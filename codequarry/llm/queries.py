@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.llm import contamination, handwritten, markup, mixing, neighbours, pairs, repetition, splitting
+from codequarry.operators.vectors import knn
 from codequarry.session import table
 
 QUERIES: dict = {}
@@ -86,10 +87,38 @@ SELECT DISTINCT least(a, b) AS vec_a, greatest(a, b) AS vec_b FROM r WHERE n <=
 """,
 )
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    near = neighbours.similar(table(spark, sf, "vec_embeddings"), k=10, least=0.90)
+    near = neighbours.similar(table(spark, sf, "vec_embeddings"), k=10, least=0.90, recall=0.999)
     return near.select(F.least("src", "dst").alias("vec_a"), F.greatest("src", "dst").alias("vec_b")).distinct()
 
 
+def _asking(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    v = table(spark, sf, "vec_embeddings")
+    return v, v.where("vec_id % 50 = 0").select("vec_id")
+
+
+@query("p1_top10")
+def p1_top10(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten most similar of each vector whose id is divisible by 50, whatever their similarity."""
+    v, q = _asking(spark, sf)
+    return neighbours.similar(v, k=10, queries=q)
+
+
+_FINE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+
+
+@query("p1_recall", f"SELECT count(*) AS n_queries, true AS reached FROM vec_embeddings WHERE vec_id % 50 = 0 AND {_FINE}")
+def p1_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether ``p1_top10`` holds nine in ten of the neighbours that an exact search in blocks gives."""
+    v, q = _asking(spark, sf)
+    near = neighbours.similar(v, k=10, queries=q).select("src", F.round(1 - F.col("similarity"), 6).alias("d"))
+    rows = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    # one more than ten, as each vector is its own nearest
+    true = knn(rows.where("id % 50 = 0").withColumnRenamed("id", "query_id"), rows, 11).where("symbol_id <> query_id")
+    last = true.where("pos <= 11").groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("distance")), 1, 10).alias("ds"))
+    got = last.join(near, F.col("query_id") == F.col("src"), "left").groupBy("query_id", "ds").agg(F.count(F.when(F.col("d") <= F.element_at("ds", -1) + 1e-6, 1)).alias("hits"))
+    return got.agg(F.count("*").alias("n_queries"), (F.sum("hits") >= 0.9 * F.sum(F.size("ds"))).alias("reached"))
+
+
 @query("p9_mix")
 def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "mix_plan"))

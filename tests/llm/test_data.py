@@ -34,7 +34,47 @@ def test_recall_against_brute_force(spark):
     assert len(want) > 5000
     got = found(spark, x, k=10, least=0.9)
     assert len(got & want) >= 0.98 * len(want)
-    assert len(found(spark, x, k=5) & exact(x, 5, -1)) >= 0.9 * 1500 * 5 * 0.9
+    assert len(found(spark, x, k=5) & exact(x, 5, -1)) >= 0.9 * 1500 * 5
+
+
+@pytest.mark.parametrize("n", [700, 3000, 6000])
+def test_recall_without_a_floor(spark, n):
+    """Vectors without any structure are the hardest; nine in ten neighbours are found at every size."""
+    x = np.concatenate([np.random.default_rng(n).normal(size=(n - 200, 64)), clustered(200, 20, 64, 0.2)]).astype(np.float32)
+    asking = range(0, n, 7)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u[list(asking)] @ u.T
+    s[np.arange(len(s)), list(asking)] = -2
+    want = {(i, int(j)) for i, row in zip(asking, np.argsort(-s, axis=1)[:, :10]) for j in row}
+    df = spark.createDataFrame([(i, v.tolist(), -1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, src int")
+    got = {(r["src"], r["dst"]) for r in neighbours.similar(df, k=10, queries=df.where("vec_id % 7 = 0")).collect()}
+    assert {i for i, _ in got} == set(asking) and len(got) <= 10 * len(asking)
+    assert len(got & want) >= 0.9 * len(want)
+
+
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_settings_follow_the_recall(spark, hashes):
+    """With any number of hashes, tables and probes are added until pairs at the floor are found."""
+    rng = np.random.default_rng(hashes)
+    x = rng.normal(size=(1000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = rng.normal(size=(1000, 64))
+    w -= (w * x).sum(1, keepdims=True) * x
+    y = 0.9001 * x + math.sqrt(1 - 0.9001**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+    x = np.concatenate([x, y]).astype(np.float32)
+    reps = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<float>")
+    real = [s for s in neighbours.fitted(reps, 10 ** (3 + 2 * hashes), 10 ** (3 + 2 * hashes), 64, 10, 0.9, 0.98, hashes)]
+    assert 1 <= real[0] <= hashes
+    got = {(r["src"], r["dst"]) for r in neighbours.class_neighbours(reps.selectExpr("*", "true asks"), 64, 10, 0.9, settings=tuple(real)).collect()}
+    assert sum((i, i + 1000) in got for i in range(1000)) >= 960
+
+
+def test_unreachable_recall_is_exact(spark):
+    """One bucket cut into blocks is the last resort."""
+    x = clustered(300, 300, 16, 0.2, 3)
+    assert found(spark, x, k=4, settings=(0, 1, 0)) == exact(x, 4, -1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.random.default_rng(0).normal(size=(400, 64)))], "id long, vec array<double>").selectExpr("id", "cast(vec as array<float>) vec", "true asks")
+    assert neighbours.fitted(df, 400, 400, 64, 10, -1.0, 1.1) == (0, 1, 0)
 
 
 def test_split_buckets_lose_nothing(spark, monkeypatch):
@@ -55,11 +95,15 @@ def test_copies_ties_and_dirt(spark):
         got.setdefault(r["src"], []).append((r["rank"], r["dst"]))
     assert set(got) == {*range(30), 100}
     assert [d for _, d in sorted(got[0])] == [1, 2, 3] and [d for _, d in sorted(got[2])] == [0, 1, 3] and [d for _, d in sorted(got[100])] == [0, 1, 2]
-    assert neighbours.similar(df.limit(0), dim=4).count() == 0
+    assert neighbours.similar(df.limit(0), dim=4).count() == 0 and neighbours.similar(df, dim=4, queries=df.limit(0)).count() == 0
+    some = neighbours.similar(df, dim=4, k=3, least=0.9, queries=df.where("vec_id in (2, 100)")).collect()
+    assert sorted((r["src"], r["rank"], r["dst"]) for r in some) == [(2, 1, 0), (2, 2, 1), (2, 3, 3), (100, 1, 0), (100, 2, 1), (100, 3, 2)]
 
 
 def test_hadamard_keeps_lengths():
     x = np.random.default_rng(1).normal(size=(5, 32)).astype(np.float32)
+    h = np.array([[(-1) ** bin(i & j).count("1") for j in range(32)] for i in range(32)])
+    assert np.allclose(neighbours.hadamard(np.ascontiguousarray(x.T)), h @ x.T, atol=1e-4)
     assert np.allclose(np.linalg.norm(neighbours.rotated(x, 0, 0), axis=1), np.linalg.norm(x, axis=1), rtol=1e-4)
     assert (neighbours.rotated(x, 0, 0) == neighbours.rotated(x, 0, 0)).all() and not np.allclose(neighbours.rotated(x, 0, 0), neighbours.rotated(x, 1, 0))
 
