@@ -1,11 +1,13 @@
-"""Tokenised full-text index: postings and BM25."""
+"""Tokenised full-text index: postings, stored once and added to, and BM25."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
+#: Most query terms that are pushed down to the scan of the postings; more are joined.
+PUSHED_TERMS = 1000
 
 
 def tokens(c: Column) -> Column:
@@ -48,3 +50,36 @@ def collection(docs: DataFrame, text: Column) -> tuple[int, float]:
     """Number of documents and mean tokens."""
     r = docs.select(F.size(tokens(text)).alias("n")).agg(F.count("*").alias("c"), F.avg("n").alias("m")).first()
     return r["c"], float(r["m"] or 1.0)
+
+
+class StoredIndex:
+    """Postings below ``root``, one folder a batch of documents; files are sorted by term, so that a scan skips what no query asks.
+
+    A document belongs to one batch; ids that come again are the caller's mistake. NULL and empty
+    texts count as documents without tokens.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def add(self, docs: DataFrame, id_col: str, text: Column, batch: int = 0) -> StoredIndex:
+        """Tokenises a batch once; adding the same batch again replaces it."""
+        postings(docs, id_col, text).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{self.root}/postings/batch={batch}")
+        docs.agg(F.count("*").alias("n_docs")).write.mode("overwrite").parquet(f"{self.root}/docs/batch={batch}")
+        return self
+
+    def postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.root}/postings").drop("batch")
+
+    def collection(self) -> tuple[int, float]:
+        n = self.spark.read.parquet(f"{self.root}/docs").agg(F.sum("n_docs")).first()[0] or 0
+        total = self.postings().agg(F.sum("tf")).first()[0] or 0
+        return n, total / n if total else 1.0
+
+    def search(self, queries: DataFrame, n: int, every: bool = False) -> DataFrame:
+        terms = query_terms(queries)
+        some = [r["term"] for r in terms.limit(PUSHED_TERMS + 1).collect()]
+        all_postings = self.postings()
+        used = all_postings.where(F.col("term").isin(some)) if len(some) <= PUSHED_TERMS else all_postings
+        n_docs, mean = self.collection()
+        return bm25(queries, used, n_docs, mean, n, every)

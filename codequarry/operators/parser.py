@@ -16,9 +16,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-# Symbols that count as defined; all others are unknown, and the first branch is kept for them.
-DEFINED = frozenset("MSWINDOWS WIN32 WINDOWS CPUX86 CPU386 UNICODE CONDITIONALEXPRESSIONS NATIVECODE CPU32BITS ASSEMBLER UNICODESTRING".split())
-UNDEFINED = frozenset("DEBUG LINUX MACOS MACOS32 MACOS64 OSX IOS ANDROID POSIX FPC CPUX64 CPU64BITS CPUARM CPUARM32 CPUARM64 NEXTGEN AUTOREFCOUNT WIN64 LINUX64 CLR".split())
+# Symbols that count as defined and as not defined; all others are unknown.
+DEFINED = frozenset("MSWINDOWS OSWINDOWS WINDOWS WIN32 WIN64 DELPHI CONDITIONALEXPRESSIONS UNICODE CPUX64 CPUX86 CPU64 CPU32 CPU386 GENERICS HASINTEGER64 HASINLINE PUREPASCAL USERECORDWITHMETHODS HASCODEPAGE ISDELPHI".split())
+UNDEFINED = frozenset("OSPOSIX OSDARWIN OSLINUX OSBSD OSANDROID OSIOS FPC FPCSOURCES FPC_DELPHI FPC_HAS_CPSTRING LINUX DARWIN BSD ANDROID IOS CPUARM CPUAARCH64 CPUPOWERPC CPUMIPS OSFREEBSD".split())
 
 LEX = re.compile(
     r"(?P<ws>\s+)|(?P<directive>\{\$[^}]*\}|\(\*\$.*?\*\))|(?P<comment>\{[^}]*\}|\(\*.*?\*\)|//[^\r\n]*)|(?P<string>'''.*?'''|(?:'(?:[^'\r\n]|'')*'|\#\$?[0-9A-Fa-f]+)+)|(?P<number>\$[0-9A-Fa-f]+|\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)|(?P<ident>&?[A-Za-z_À-￿][\w]*)|(?P<symbol>:=|\.\.|<>|<=|>=|[-+*/=<>()\[\]{}.,:;^@$])|(?P<other>.)",
@@ -32,49 +32,43 @@ MODIFIERS = frozenset("virtual override overload abstract static cdecl stdcall r
 COMMENT_LINES = 5
 
 
+CONDITIONAL = re.compile(r"'(?:[^'\r\n]|'')*'|//[^\r\n]*|\{\$[^}]*\}|\(\*\$.*?\*\)|\{[^}]*\}|\(\*.*?\*\)", re.S)
+
+
 def resolve_conditionals(text: str) -> str:
     """Blanks out branches of conditional code that aren't taken; offsets and lines stay as they are.
 
-    Known symbols decide; for unknown ones, and for expressions, the first branch is taken.
+    Only the fixed symbols decide. For unknown symbols, compiler options and expressions the
+    first branch is taken, whether it asks for a symbol or for its absence. Symbols that a text
+    defines itself stay unknown.
     """
-    out, at, stack = [], 0, []
-    defined = set(DEFINED)
-
-    def live() -> bool:
-        return all(s[0] for s in stack)
+    out, at, stack, dead = [], 0, [], 0  # dead: open levels whose branch isn't taken
 
     def put(upto: int) -> None:
         part = text[at:upto]
-        out.append(part if live() else re.sub(r"[^\r\n]", " ", part))
+        out.append(re.sub(r"[^\r\n]", " ", part) if dead else part)
 
-    for m in re.finditer(r"'(?:[^'\r\n]|'')*'|//[^\r\n]*|\{\$[^}]*\}|\(\*\$.*?\*\)|\{[^}]*\}|\(\*.*?\*\)", text, re.S):
+    for m in CONDITIONAL.finditer(text):
         d = DIRECTIVE.match(m.group())
         if not d:
             continue
         word, arg = (d[1] or d[3]).upper(), (d[2] or d[4] or "").strip()
-        name = arg.split()[0].upper() if arg.split() else ""
-        if word in ("IFDEF", "IFNDEF", "IF", "IFOPT", "ELSE", "ELSEIF", "ENDIF", "IFEND", "DEFINE", "UNDEF"):
-            put(m.start())
-            out.append(re.sub(r"[^\r\n]", " ", m.group()))
-            at = m.end()
-        if word in ("IFDEF", "IFNDEF"):
-            known = name in defined or name in UNDEFINED
-            take = (name in defined) == (word == "IFDEF") if known else True
-            stack.append([take, take])
-        elif word in ("IF", "IFOPT"):
-            low = re.match(r"(NOT\s+)?DEFINED\s*\(\s*(\w+)\s*\)$", arg.upper())
-            take = ((low[2] in defined) != bool(low[1])) if low and (low[2] in defined or low[2] in UNDEFINED) else True
+        if word not in ("IFDEF", "IFNDEF", "IF", "IFOPT", "ELSE", "ELSEIF", "ENDIF", "IFEND", "DEFINE", "UNDEF"):
+            continue
+        put(m.start())
+        out.append(re.sub(r"[^\r\n]", " ", m.group()))
+        at = m.end()
+        if word in ("IFDEF", "IFNDEF", "IF", "IFOPT"):
+            name = arg.upper() if word in ("IFDEF", "IFNDEF") else ""
+            take = not ((name in UNDEFINED and word == "IFDEF") or (name in DEFINED and word == "IFNDEF"))
             stack.append([take, take])
-        elif word == "ELSE" and stack:
-            stack[-1] = [not stack[-1][1], True]
-        elif word == "ELSEIF" and stack:
-            stack[-1] = [not stack[-1][1], True] if not stack[-1][1] else [False, True]
+            dead += not take
+        elif word in ("ELSE", "ELSEIF") and stack:
+            was, (now, taken) = stack[-1][0], (not stack[-1][1], True)
+            stack[-1] = [now, taken]
+            dead += was - now
         elif word in ("ENDIF", "IFEND") and stack:
-            stack.pop()
-        elif word == "DEFINE" and live():
-            defined.add(name)
-        elif word == "UNDEF" and live():
-            defined.discard(name)
+            dead -= not stack.pop()[0]
     put(len(text))
     return "".join(out)
 

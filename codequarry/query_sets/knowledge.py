@@ -104,7 +104,7 @@ _FW = "CASE WHEN len(list_filter({u}, lambda x: starts_with(x, 'vcl.') OR starts
     rf"""
 WITH {_MAPPED}, un AS (SELECT file_path, content, row_number() OVER (PARTITION BY file_path ORDER BY length(content) DESC NULLS LAST, content DESC) AS n FROM symbols WHERE type = 'unit' AND file_path IS NOT NULL),
 t AS (SELECT file_path, nullif(upper(regexp_extract(array_to_string(string_split(content, chr(10))[1:10], chr(10)), '(?i)//\s*FRAMEWORK:\s*(VCL|FMX|RTL)\b', 1)), '') AS t1, {_USES} AS u FROM un WHERE n = 1),
-pk AS (SELECT {_KEY.format('file_path')} AS k, max(framework) AS f FROM symbols WHERE framework IS NOT NULL AND id % 3 = 0 AND file_path IS NOT NULL GROUP BY 1),
+pk AS (SELECT {_KEY.format('file_path')} AS k, max(framework) AS f FROM symbols WHERE framework IS NOT NULL AND file_path IS NOT NULL GROUP BY 1),
 j AS (SELECT t.file_path, t1, mp.framework AS t2, pk.f AS t3, {_FW.format(u='u')} AS t4 FROM t LEFT JOIN mp ON t.file_path = mp.file_path AND mp.n = 1 LEFT JOIN pk ON pk.k = {_KEY.format('t.file_path')})
 SELECT file_path, coalesce(t1, t2, t3, t4, '') AS framework, CASE WHEN t1 IS NOT NULL THEN 'tag' WHEN t2 IS NOT NULL THEN 'mapping' WHEN t3 IS NOT NULL THEN 'package' WHEN t4 IS NOT NULL THEN 'uses' ELSE 'unknown' END AS tier,
   CASE WHEN t1 = 'RTL' AND t4 IN ('VCL', 'FMX') THEN 'comment_vs_uses' WHEN t1 IS NULL AND t2 <> t3 THEN 'mapping_vs_package' WHEN t1 IS NULL AND t2 IS NULL AND t3 = 'RTL' AND t4 IN ('VCL', 'FMX') THEN 'file_vs_package'
@@ -114,16 +114,6 @@ SELECT file_path, coalesce(t1, t2, t3, t4, '') AS framework, CASE WHEN t1 IS NOT
 def framework_coalesce(spark, sf):
     from codequarry.functions.paths import path_key
 
-    s = table(spark, sf, "symbols").where("file_path is not null")
-    pk = s.where("framework is not null and id % 3 = 0").groupBy(path_key(F.col("file_path")).alias("file_key")).agg(F.max("framework").alias("package_framework"))
-    return i.detect(s.where("type = 'unit'").select("file_path", "content"), overrides(spark), pk)
-
-
-@query("framework_coalesce_all")
-def framework_coalesce_all(spark, sf):
-    """framework_coalesce with a package table of all symbols."""
-    from codequarry.functions.paths import path_key
-
     s = table(spark, sf, "symbols").where("file_path is not null")
     pk = s.where("framework is not null").groupBy(path_key(F.col("file_path")).alias("file_key")).agg(F.max("framework").alias("package_framework"))
     return i.detect(s.where("type = 'unit'").select("file_path", "content"), overrides(spark), pk)
@@ -132,34 +122,21 @@ def framework_coalesce_all(spark, sf):
 _EDGES = f"e AS (SELECT DISTINCT lower(name) AS src, unnest({_USES}) AS dst FROM symbols WHERE type = 'unit' AND content IS NOT NULL AND name IS NOT NULL)"
 
 
-@query("unit_closure", f"WITH RECURSIVE {_EDGES}, r AS (SELECT src AS root, dst FROM e WHERE src LIKE 'ua%' UNION SELECT r.root, e.dst FROM r JOIN e ON r.dst = e.src) SELECT root, dst AS unit FROM r WHERE root <> dst")
-def unit_closure(spark, sf):
-    s = table(spark, sf, "symbols").where("type = 'unit' and content is not null and name is not null")
-    e = i.dependency_pairs(s)
-    roots = e.where("src like 'ua%'").select(F.col("src").alias("root")).distinct()
-    return i.transitive_uses(e, roots).where("distance > 0").select("root", "unit")
-
-
-@query("package_closure", f"WITH RECURSIVE {_EDGES}, r AS (SELECT src, dst FROM e WHERE src LIKE 'ub%' UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT src, dst FROM r")
-def package_closure(spark, sf):
-    s = table(spark, sf, "symbols").where("type = 'unit' and content is not null and name is not null")
-    return i.reach(i.dependency_pairs(s)).where("src like 'ub%'")
-
-
 def _closure(spark, sf):
     s = table(spark, sf, "symbols").where("type = 'unit' and content is not null and name is not null")
     return i.reach(i.dependency_pairs(s))
 
 
-@query("unit_closure_all")
-def unit_closure_all(spark, sf):
-    """unit_closure from every unit; its recursion in SQL is too slow for that."""
+@query("unit_closure", f"WITH RECURSIVE {_EDGES}, r AS (SELECT src AS root, dst FROM e UNION SELECT r.root, e.dst FROM r JOIN e ON r.dst = e.src) SELECT root, dst AS unit FROM r WHERE root <> dst")
+def unit_closure(spark, sf):
+    """All units that each unit needs."""
     return _closure(spark, sf).where("src <> dst").select(F.col("src").alias("root"), F.col("dst").alias("unit"))
 
 
-@query("package_closure_all")
-def package_closure_all(spark, sf):
-    return _closure(spark, sf)
+@query("unit_circles", f"WITH RECURSIVE {_EDGES}, r AS (SELECT src AS root, dst FROM e UNION SELECT r.root, e.dst FROM r JOIN e ON r.dst = e.src) SELECT root AS unit FROM r WHERE root = dst")
+def unit_circles(spark, sf):
+    """Units that need themselves in the end."""
+    return _closure(spark, sf).where("src = dst").select(F.col("src").alias("unit"))
 
 
 PACKAGES = [("app", 0, "vcl"), ("app", 1, "core"), ("core", 0, "rtl"), ("core", 1, "dbrtl"), ("ui", 0, "core"), ("ui", 1, "fmxbase"), ("mixed", 0, "ui"), ("mixed", 1, "app"), ("odd", 0, "unknownlib"), ("tagged", 0, "unknownlib"), ("tagged", 1, "rtl"), ("a", 0, "b"), ("b", 0, "a"), ("c", 0, "a"), ("c", 1, "app"), ("none", 0, "")]

@@ -20,15 +20,8 @@ def parse_units(spark, sf):
     return parser.parse_units(s.select(F.col("id").cast("string").alias("path"), F.col("content").alias("text"))).select("file_path", "parse_status", "full_name", "type", "visibility", "is_declaration", "start_line", "end_line")
 
 
-@query("method_signatures", "SELECT id, length(content) AS n FROM symbols WHERE lower(type) IN ('function', 'procedure') AND length(content) < 300")
+@query("method_signatures")
 def method_signatures(spark, sf):
-    short = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else parser.signature(t)), "string")
-    s = table(spark, sf, "symbols").where("lower(type) in ('function', 'procedure') and length(content) < 300")
-    return s.select("id", F.length(short("content")).cast("long").alias("n"))
-
-
-@query("method_headings")
-def method_headings(spark, sf):
     """The heading of every routine, long ones too; SQL can't scan past strings and comments, so it has none."""
     short = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else parser.signature(t)), "string")
     return table(spark, sf, "symbols").where("lower(type) in ('function', 'procedure')").select("id", short("content").alias("heading"))
@@ -70,7 +63,7 @@ def editor_definition(spark, sf):
 
 @query("workspace_symbols", f"WITH h AS ({_hybrid(50)}) SELECT query_id, rank, name, CASE lower(type) {_LSP} ELSE 13 END AS kind, {_URI} AS uri FROM h JOIN symbols ON symbol_id = id")
 def workspace_symbols(spark, sf):
-    return editor.workspace_symbols(text_queries(spark), table(spark, sf, "symbols")).select("query_id", "rank", "name", "kind", "uri")
+    return editor.workspace_symbols(text_queries(spark, sf), table(spark, sf, "symbols")).select("query_id", "rank", "name", "kind", "uri")
 
 
 @query(
@@ -88,6 +81,6 @@ def editor_hover(spark, sf):
 
 @query("format_results")
 def formatted(spark, sf):
-    s, q = table(spark, sf, "symbols"), text_queries(spark)
+    s, q = table(spark, sf, "symbols"), text_queries(spark, sf)
     got = search.hybrid(q, s, 5).join(s, F.col("symbol_id") == F.col("id"))
     return format_results(got)

@@ -1,7 +1,7 @@
 """Search stages and fusion over symbols and vectors.
 
-Query sets: the name of every symbol whose id is divisible by 50; for searches inside texts
-the fixed list TEXT_QUERIES; every vector whose id is divisible by 50.
+Query sets: every symbol and every vector whose id is divisible by 50. Names are looked up as
+they are; searches inside texts take the first words of every other symbol's comments.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from codequarry.operators import fts, search, vectors
 from codequarry.query_sets.scalar import KW, SIM
 from codequarry.registry import query
-from codequarry.session import cut, table
+from codequarry.session import shared_folder, table
 
-TEXT_QUERIES = [(1, "parse index"), (2, "cache stream files"), (3, "TInvoice"), (4, "Create"), (5, "validate column"), (6, "report while printing"), (7, "almacén envío"), (8, "x"), (9, "FieldByName AsInteger"), (10, "near midnight"), (11, "liste menü"), (12, "select toolbar from wizard")]
-_TQ = "text_queries(query_id, text) AS (VALUES " + ", ".join(f"({i}::BIGINT, '{t}')" for i, t in TEXT_QUERIES) + ")"
+_TEXTS = "SELECT query_id, text FROM (SELECT id AS query_id, CASE WHEN id % 100 = 50 AND len(w) >= 2 THEN array_to_string(w[1:3], ' ') ELSE name END AS text FROM (SELECT id, name, regexp_extract_all(coalesce(comments, ''), '([A-Za-z]+)', 1) AS w FROM symbols WHERE id % 50 = 0)) WHERE text IS NOT NULL"
+_TQ = f"text_queries AS ({_TEXTS})"
+_CLEAN = "regexp_replace(translate(trim({0}), '''\";', ''), ' {{2,}}', ' ', 'g')"
+_FIT = "length(trim({0})) BETWEEN 2 AND 200"
 _NQ = "name_queries AS (SELECT id AS query_id, regexp_replace(translate(trim(name), '''\";', ''), ' {2,}', ' ', 'g') AS q FROM symbols WHERE id % 50 = 0 AND length(trim(name)) BETWEEN 2 AND 200)"
 _RANK = "CASE lower(type) WHEN 'class' THEN 1 WHEN 'interface' THEN 2 WHEN 'function' THEN 3 WHEN 'procedure' THEN 4 ELSE 5 END"
 
@@ -23,8 +25,15 @@ def name_queries(spark, sf):
     return table(spark, sf, "symbols").where("id % 50 = 0 and name is not null").select(F.col("id").alias("query_id"), F.col("name").alias("text"))
 
 
-def text_queries(spark):
-    return spark.createDataFrame(TEXT_QUERIES, "query_id long, text string")
+def text_queries(spark, sf):
+    s = table(spark, sf, "symbols").where("id % 50 = 0")
+    words = F.regexp_extract_all(F.coalesce("comments", F.lit("")), F.lit("([A-Za-z]+)"), F.lit(1))
+    phrase = F.when((F.col("id") % 100 == 50) & (F.size(words) >= 2), F.array_join(F.slice(words, 1, 3), " ")).otherwise(F.col("name"))
+    return s.select(F.col("id").alias("query_id"), phrase.alias("text")).where("text is not null")
+
+
+def part_queries(spark, sf):
+    return name_queries(spark, sf).withColumn("text", F.substring("text", 2, 6))
 
 
 _EXACT = f"SELECT query_id, symbol_id FROM (SELECT query_id, id AS symbol_id, row_number() OVER (PARTITION BY query_id ORDER BY {_RANK}, id) AS n FROM name_queries JOIN symbols ON upper(q) = upper(name)) WHERE n = 1"
@@ -35,7 +44,7 @@ def exact_name(spark, sf):
     return search.exact(name_queries(spark, sf), table(spark, sf, "symbols")).where("is_exact").select("query_id", "symbol_id")
 
 
-_PART_Q = "parts AS (SELECT id AS query_id, substr(name, 2, 6) AS q FROM symbols WHERE id % 50 = 0 AND length(trim(substr(name, 2, 6))) >= 2 AND NOT regexp_matches(name, '['' \";]'))"
+_PART_Q = f"parts AS (SELECT * FROM (SELECT id AS query_id, {_CLEAN.format('substr(name, 2, 6)')} AS q FROM symbols WHERE id % 50 = 0 AND {_FIT.format('substr(name, 2, 6)')}) WHERE length(q) >= 2)"
 
 
 @query(
@@ -47,8 +56,7 @@ FROM parts JOIN symbols ON contains(lower(name), lower(q)) WHERE query_id NOT IN
 """,
 )
 def partial_name(spark, sf):
-    q = table(spark, sf, "symbols").where("id % 50 = 0 and name is not null and length(trim(substring(name, 2, 6))) >= 2").where(~F.col("name").rlike("['\" ;]"))
-    return search.exact(q.select(F.col("id").alias("query_id"), F.substring("name", 2, 6).alias("text")), table(spark, sf, "symbols")).where("not is_exact").select("query_id", "symbol_id")
+    return search.exact(part_queries(spark, sf), table(spark, sf, "symbols")).where("not is_exact").select("query_id", "symbol_id")
 
 
 @query(
@@ -61,14 +69,13 @@ SELECT query_id, symbol_id, round({SIM.format('q', "coalesce(name, '')")}, 6) AS
 """,
 )
 def fuzzy_name(spark, sf):
-    q = table(spark, sf, "symbols").where("id % 50 = 0 and name is not null and length(trim(substring(name, 2, 6))) >= 2").where(~F.col("name").rlike("['\" ;]"))
-    got = search.fuzzy(q.select(F.col("id").alias("query_id"), F.substring("name", 2, 6).alias("text")), table(spark, sf, "symbols"), 10)
+    got = search.fuzzy(part_queries(spark, sf), table(spark, sf, "symbols"), 10)
     return got.select("query_id", "symbol_id", F.round("score", 6).alias("score"), F.col("pos").cast("long").alias("pos"))
 
 
 def _full(hit: str, tiers: str) -> str:
     return f"""
-WITH {_TQ}, tq AS (SELECT query_id, text AS q, {KW.format('text')} AS k FROM text_queries WHERE length(trim(text)) >= 2),
+WITH {_TQ}, tq AS (SELECT query_id, {_CLEAN.format('text')} AS q, {KW.format(_CLEAN.format('text'))} AS k FROM text_queries WHERE {_FIT.format('text')}),
 hits AS (SELECT query_id, q, id AS symbol_id, coalesce(comments, '') || ' ' || coalesce(content, '') AS t, row_number() OVER (PARTITION BY query_id ORDER BY {tiers}, id) AS pos FROM tq JOIN symbols ON len(k) > 0 AND ({hit}))
 SELECT query_id, symbol_id, round({SIM.format('q', 't')}, 6) AS score, pos FROM hits WHERE pos <= 10
 """
@@ -84,12 +91,12 @@ def _stage(df):
 
 @query("full_text_ordered", _full(" OR ".join(_LIKE.format(c) for c in ("name", "comments", "content")), f"CASE WHEN {_LIKE.format('name')} THEN 0 WHEN {_LIKE.format('comments')} THEN 1 ELSE 2 END"))
 def full_text_ordered(spark, sf):
-    return _stage(search.full_text(text_queries(spark), table(spark, sf, "symbols"), 10))
+    return _stage(search.full_text(text_queries(spark, sf), table(spark, sf, "symbols"), 10))
 
 
 @query("full_text_all_terms", _full(_ALL.format("coalesce(name, '') || chr(1) || coalesce(comments, '') || chr(1) || coalesce(content, '')"), f"CASE WHEN {_ALL.format('name')} THEN 0 WHEN {_ALL.format('comments')} THEN 1 ELSE 2 END"))
 def full_text_all_terms(spark, sf):
-    return _stage(search.full_text(text_queries(spark), table(spark, sf, "symbols"), 10, mode="all_terms"))
+    return _stage(search.full_text(text_queries(spark, sf), table(spark, sf, "symbols"), 10, mode="all_terms"))
 
 
 _USABLE = "len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
@@ -202,7 +209,7 @@ def _hybrid(n: int, boost: str = "1.0") -> str:
     like = " OR ".join(_LIKE.format(c) for c in ("name", "comments", "content"))
     fq = "coalesce(name, '') || chr(1) || coalesce(full_name, '') || chr(1) || coalesce(parent_class, '')"
     return f"""
-WITH {_TQ}, tq AS (SELECT query_id, regexp_replace(translate(trim(text), '''";', ''), ' {{2,}}', ' ', 'g') AS q, {KW.format('text')} AS k FROM text_queries WHERE length(trim(text)) >= 2),
+WITH {_TQ}, tq AS (SELECT * FROM (SELECT query_id, {_CLEAN.format('text')} AS q, {KW.format(_CLEAN.format('text'))} AS k FROM text_queries WHERE {_FIT.format('text')}) WHERE length(q) >= 2),
 e1 AS (SELECT query_id, id AS symbol_id, true AS is_exact, 1.0::DOUBLE AS score, 1 AS pos, row_number() OVER (PARTITION BY query_id ORDER BY {_RANK}, id) AS n FROM tq JOIN symbols ON upper(q) = upper(name)),
 e2 AS (SELECT query_id, id AS symbol_id, false AS is_exact, 0.8::DOUBLE AS score, 1 AS pos, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN starts_with(lower(name), lower(q)) THEN 0 ELSE 1 END, length(name), id) AS n
   FROM tq JOIN symbols ON contains(lower(name), lower(q)) WHERE query_id NOT IN (SELECT query_id FROM e1)),
@@ -225,17 +232,17 @@ def _ranked(df):
 
 @query("batch_hybrid", _hybrid(10))
 def batch_hybrid(spark, sf):
-    return _ranked(search.hybrid(text_queries(spark), table(spark, sf, "symbols"), 10))
+    return _ranked(search.hybrid(text_queries(spark, sf), table(spark, sf, "symbols"), 10))
 
 
 @query("hybrid_search", _hybrid(5))
 def hybrid_search(spark, sf):
-    return _ranked(search.hybrid(text_queries(spark), table(spark, sf, "symbols"), 5))
+    return _ranked(search.hybrid(text_queries(spark, sf), table(spark, sf, "symbols"), 5))
 
 
 @query("prefer_boost", _hybrid(10, "CASE WHEN s.source_category = 'third_party' THEN 1.2::DOUBLE ELSE 1.0::DOUBLE END"))
 def prefer_boost(spark, sf):
-    return _ranked(search.hybrid(text_queries(spark), table(spark, sf, "symbols"), 10, preferred="third_party"))
+    return _ranked(search.hybrid(text_queries(spark, sf), table(spark, sf, "symbols"), 10, preferred="third_party"))
 
 
 @query("hybrid_semantic")
@@ -243,7 +250,7 @@ def hybrid_semantic(spark, sf):
     from codequarry.operators.embed import embed_column
 
     s = table(spark, sf, "symbols")
-    q = text_queries(spark)
+    q = text_queries(spark, sf)
     v = embed_column(s.select("id", F.concat_ws(" ", "name", "comments").alias("t")), "t", 64).select("id", "vec")
     near = vectors.as_stage(vectors.knn(embed_column(q, "text", 64).select("query_id", "vec"), v, 20))
     return _ranked(search.hybrid(q, s, 10, vectors=near))
@@ -252,7 +259,7 @@ def hybrid_semantic(spark, sf):
 @query(
     "rerank_lexical",
     f"""
-WITH h AS ({_hybrid(50)}), t AS (SELECT query_id, regexp_replace(translate(trim(text), '''";', ''), ' {{2,}}', ' ', 'g') AS q FROM (VALUES {", ".join(f"({i}::BIGINT, '{t}')" for i, t in TEXT_QUERIES)}) v(query_id, text)),
+WITH h AS ({_hybrid(50)}), t AS (SELECT query_id, {_CLEAN.format('text')} AS q FROM ({_TEXTS})),
 c AS (SELECT h.*, q, s.name, count(*) OVER (PARTITION BY h.query_id) AS n_all, CASE WHEN s.name IS NULL THEN coalesce(s.content, '') WHEN s.content IS NULL THEN s.name ELSE s.name || chr(10) || s.content END AS doc FROM h JOIN t ON h.query_id = t.query_id JOIN symbols s ON s.id = h.symbol_id),
 f AS (SELECT query_id, symbol_id, is_exact, CASE WHEN n_all <= 5 THEN match_type ELSE 'reranked' END AS match_type, n_all, rank AS old, CASE WHEN n_all <= 5 THEN score ELSE {SIM.format('q', 'doc')} * 0.5 + {SIM.format('q', "coalesce(name, '')")} * 0.5 END AS score FROM c),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN n_all <= 5 THEN -old ELSE round(score, 9) END DESC, symbol_id) AS n FROM f)
@@ -260,7 +267,7 @@ SELECT query_id, symbol_id, match_type, is_exact, round(score, 6) AS score, n AS
 """,
 )
 def rerank_lexical(spark, sf):
-    s, q = table(spark, sf, "symbols"), text_queries(spark)
+    s, q = table(spark, sf, "symbols"), text_queries(spark, sf)
     return _ranked(search.rerank(q, search.hybrid(q, s, 50), s, 5))
 
 
@@ -292,12 +299,23 @@ SELECT query_id, symbol_id, round(score, 4) AS score FROM r WHERE pos <= 10
 """
 
 
-def _bm25(spark, sf, every):
+_STORED: dict[tuple, fts.StoredIndex] = {}
+
+
+def stored_index(spark, sf):
+    """The full-text index of a folder's symbols, built at its first use in a session and again when the files change."""
     s = table(spark, sf, "symbols")
-    whole = F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
-    n, mean = fts.collection(s, whole)
-    index = cut(fts.postings(s, "id", whole, fts.query_terms(text_queries(spark))))  # read for the terms' frequencies and for the scores
-    return fts.bm25(text_queries(spark), index, n, mean, 10, every).select("query_id", "symbol_id", F.round("score", 4).alias("score"))
+    files = s.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    key = (spark.sparkContext.applicationId, *sorted(map(tuple, files.collect())))
+    if key not in _STORED:
+        whole = F.concat(F.coalesce("name", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
+        _STORED[key] = fts.StoredIndex(spark, shared_folder(spark, "postings")).add(s, "id", whole)
+    return _STORED[key]
+
+
+def _bm25(spark, sf, every):
+    found = stored_index(spark, sf).search(text_queries(spark, sf), 10, every)
+    return found.select("query_id", "symbol_id", F.round("score", 4).alias("score"))
 
 
 @query("fts_bm25", _BM25.format("true"))

@@ -236,18 +236,11 @@ def deleted_subfolders(spark, sf):
 @query(
     "cache_validate",
     """
-WITH items AS (SELECT md5('q' || (id % 997)) AS query_hash, id, CASE WHEN id % 53 = 0 THEN id + 100000000 ELSE id END AS rid, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 31 = 0 THEN 'x' ELSE coalesce(content_hash, '') END AS rhash FROM symbols WHERE id % 3 = 0)
+WITH items AS (SELECT md5('q' || (id % 997)) AS query_hash, id, CASE WHEN id % 53 = 0 THEN id + 100000000 ELSE id END AS rid, CASE WHEN id % 5 = 0 THEN NULL WHEN id % 31 = 0 THEN 'x' ELSE coalesce(content_hash, '') END AS rhash FROM symbols)
 SELECT query_hash, bool_and(s.id IS NOT NULL AND (coalesce(rhash, '') = '' OR coalesce(lower(trim(rhash)) = lower(trim(s.content_hash)), false))) AS still_valid FROM items LEFT JOIN symbols s ON items.rid = s.id GROUP BY 1
 """,
 )
 def cache_validate(spark, sf):
-    s = table(spark, sf, "symbols")
-    return _validated(s.where("id % 3 = 0"), s)
-
-
-@query("cache_validate_all")
-def cache_validate_all(spark, sf):
-    """cache_validate with a cache of all symbols."""
     s = table(spark, sf, "symbols")
     return _validated(s, s)
 

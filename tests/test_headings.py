@@ -37,6 +37,6 @@ def test_headings_of_all_routines(spark, tmp_path):
         params = "; ".join(rng.choice([f"const A{k}: string = ';'", f"var B{k}: Integer", f"C{k}: T{k} { '{;}' }"]) for k in range(rng.randrange(1, 30)))
         rows.append((i, rng.choice(["function", "procedure"]), f"{head}procedure P{i}({params}){rng.choice([';', ';', chr(10) + 'var q: Integer;'])}\nbegin\n" + "z := 1;\n" * rng.randrange(60) + "end;"))
     spark.createDataFrame(rows, "id long, type string, content string").write.parquet(f"{tmp_path}/symbols.parquet")
-    got = {r["id"]: r["heading"] for r in QUERIES["method_headings"](spark, str(tmp_path)).collect()}
+    got = {r["id"]: r["heading"] for r in QUERIES["method_signatures"](spark, str(tmp_path)).collect()}
     assert sum(len(t or "") >= 300 for _, _, t in rows) > 20
     assert got == {i: brute(t) for i, kind, t in rows if kind != "class"}

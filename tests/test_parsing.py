@@ -1,3 +1,5 @@
+import time
+
 from codequarry.operators import documents as d
 from codequarry.operators.parser import identifier_at, package_clauses, parse, parse_units, resolve_conditionals, signature
 from codequarry.sources.files import interface_part
@@ -66,6 +68,21 @@ def test_conditionals():
     assert len(got) == len(t) and got.split() == ["uses", "B;", "c", "e", "'{$IFDEF", "LINUX}'"]
 
 
+def test_symbols_that_count_as_defined():
+    both = lambda word, name: resolve_conditionals(f"{{${word} {name}}}a{{$ELSE}}b{{$ENDIF}}").split()
+    for name in ("WIN64", "CPUX64", "delphi", "PUREPASCAL", "HASINLINE"):
+        assert both("IFDEF", name) == ["a"] and both("IFNDEF", name) == ["b"]
+    for name in ("FPC", "OSPOSIX", "darwin", "CPUMIPS"):
+        assert both("IFDEF", name) == ["b"] and both("IFNDEF", name) == ["a"]
+    for name in ("DEBUG", "MACOS", "ANYTHING"):  # unknown: the first branch
+        assert both("IFDEF", name) == ["a"] and both("IFNDEF", name) == ["a"] and both("IF", f"Defined({name})") == ["a"]
+    nested = "{$IFDEF FPC}x{$IFDEF WIN32}y{$ELSE}z{$ENDIF}{$ELSE}k{$IFNDEF UNICODE}l{$ELSEIF X}m{$ENDIF}n{$ENDIF}o"
+    assert resolve_conditionals(nested).split() == ["k", "m", "n", "o"]
+    began = time.time()
+    deep = "{$IFDEF FPC}" * 30000 + "x" + "{$ENDIF}" * 30000 + "y"
+    assert resolve_conditionals(deep).split() == ["y"] and time.time() - began < 5
+
+
 def test_failures_and_rows(spark):
     df = spark.createDataFrame([("a", UNIT), ("b", "unit b; implementation procedure X; begin if"), ("c", None), ("d", "")], "path string, text string")
     got = parse_units(df).collect()
