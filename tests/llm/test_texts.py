@@ -178,6 +178,7 @@ def test_remove(spark):
         ("<h2>T</h2><p>a <b>b</b>&nbsp;c<p>d<br>e", "## T\n\na b c\n\nd\ne"),
         ("<ul><li>x<li>y<ol><li>z</ol></ul>", "- x\n- y\n  1. z"),
         ("<table><tr><td>a<td>bbb<tr><td>cc<td>d</table>", "a  | bbb\ncc | d"),
+        ("<table>x<caption>c</caption><tr>y<td>a<td>b</table>", "x\nc\ny | a | b"),
         ("<script>var a='<b>';</script><div style='display: none'>no</div><p hidden>no</p>yes<style>p{}</style>", "yes"),
         ("<pre><code>if a &lt; b then\n  c;</code></pre>", "```\nif a < b then\n  c;\n```"),
         ("x &amp;lt;i&amp;gt; y", "x <i> y".replace("<i>", "").replace("  ", "  ")),
@@ -216,6 +217,45 @@ def test_rendering_never_fails(text):
     markup.kinds_of(text)
 
 
+LONG = {
+    "div": "<div>" * 100_000 + "deep" + "</div>" * 50_000,
+    "list": "<ul><li>x" * 50_000 + "deep",
+    "quote": "<blockquote>x" * 60_000 + "deep",
+    "table": "<table><tr><td>x" * 40_000 + "deep",
+    "formula": '<span class="math">' + "<sup>" * 60_000 + "deep",
+    "code": "<pre>" + "<b>" * 100_000 + "deep",
+    "closing": "<b>" * 40_000 + "<p>" + "</i></table>" * 40_000 + "deep",
+    "blocked": "<p><table>" + "<b>" * 40_000 + "</p>" * 40_000 + "deep",
+    "paragraphs": "<b>" * 40_000 + "<p>" * 40_000 + "deep",
+    "options": "<b><option>" * 40_000 + "deep",
+    "attributes": "<a " + 'x="1" ' * 60_000 + ">deep</a>",
+    "math": "\\(x " * 100_000 + "deep",
+    "brackets": "\\[x " * 50_000 + "$$ y " * 51 + "$ \\ab[" * 50_000 + "deep",
+    "links": "[http://a " * 40_000 + "[http://b" * 40_000 + "[[c|" * 40_000 + "deep",
+    "heading": "# a" + " " * 200_000 + "b\n== c" + " " * 200_000 + "d\ndeep",
+    "blanks": "x" + " " * 300_000 + "deep &amp;\n" + " " * 200_000 + "\n",
+    "marks": "**a " * 40_000 + "__b " * 40_000 + "''c " * 40_000 + "~~d `e {{f " * 20_000 + "\ndeep",
+    "rows": "| a " * 100_000 + "\n" + "| b |\n" * 10_000 + "deep",
+    "items": "\\begin{enumerate}\\item x\n" * 20_000 + "deep",
+    "cells": "<table><tr><td>" + "w " * 100_000 + "<tr><td>a<td>b" * 2_000 + "</table>deep",
+}
+
+
+@pytest.mark.parametrize("kind", LONG)
+def test_hostile_texts_take_little_time(kind):
+    began = time.time()
+    got, met = markup.rendered(LONG[kind])
+    markup.kinds_of(LONG[kind])
+    assert time.time() - began < 20 and "deep" in got
+
+
+def test_what_rendering_meets():
+    for text in PLAIN:
+        assert not set(markup.rendered(f"Some words. {text} More words.")[1]) - {"list"}
+    for text in MARKED:
+        assert markup.rendered(f"words {text} words" if "\n" not in text and "==" not in text else f"words\n{text}\nwords")[1]
+
+
 def test_clean_edges(spark):
     s = spark.createDataFrame([(1, "<b>x</b>", "a.htm", "code"), (2, "<b>x</b>", "A.PAS", "help"), (3, None, None, None), (4, "", "b.md", ""), (5, "plain", None, None), (5, "plain", None, None), (6, "<p>" * 20000 + "deep", "c.htm", "")], "id long, content string, file_path string, n_pieces string")
     got = sorted((r["id"], r["n_pieces"], r["text"]) for r in markup.clean(s.where("id <> 3")).collect())
