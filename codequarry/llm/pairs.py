@@ -9,6 +9,7 @@ says nothing of its own are dropped.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,17 +30,21 @@ LEX = re.compile(
     """,
     re.I | re.S | re.X,
 )
-BLOCK = re.compile(r"(?P<skip>'(?:[^'\r\n]|'')*'?|\{[^}]*\}?|\(\*.*?(?:\*\)|\Z)|//[^\r\n]*)|(?<![\w.&])(?P<word>begin|case|try|asm|record|end|function|procedure|constructor|destructor|forward|external|implementation|initialization|finalization)(?!\w)|(?P<semi>;)", re.I | re.S)
+BLOCK = re.compile(r"(?P<skip>'(?:[^'\r\n]|'')*'?|\{[^}]*\}?|\(\*.*?(?:\*\)|\Z)|//[^\r\n]*)|(?<![\w.&])(?P<word>begin|case|try|asm|record|end|function|procedure|constructor|destructor|forward|external|implementation|initialization|finalization)(?!\w)|(?P<sign>[;()])", re.I | re.S)
 START = re.compile(r"\s*(?:class\s+)?(?:function|procedure|constructor|destructor)\s", re.I)
 COMMENT = re.compile(r"\s*(?:\{[^}]*\}?|\(\*.*?(?:\*\)|\Z)|//[^\r\n]*)", re.S)
-ONE_BREAK = re.compile(r"[ \t]*(?:\r\n|\n|\r)?[ \t]*\Z")
+ONE_BREAK = re.compile(r"[ \t]*+(?:\r\n|\n|\r)?[ \t]*+\Z")
+LOCAL = re.compile(r"(?<!\w)(?:var|const|type|label)(?!\w)", re.I)
+DIRECTIVES = re.compile(r"\s*+(?:\w+\s*+;\s*+)*+\Z")
+CALLING = re.compile(r"\s*(?:(?:virtual|override|overload|abstract|static|cdecl|stdcall|inline|reintroduce|dynamic)\s*;\s*)*\Z", re.I)
+TAIL = re.compile(r"\s*[;.]?")
 EDGE = re.compile(r"^[ \t]*(?:///?|\{|\(\*|\*(?!\*))?|(?:\}|\*\))[ \t]*$", re.M)
 TAG = re.compile(r"</?[A-Za-z][^<>]*>|(?<!\w)[@\\](?:inheritdoc|param|returns?|see|brief|author|version|since|raises|exception|deprecated|link)\b")
 TODO = re.compile(r"(?<!\w)(?:TODO|FIXME|TBD|XXX|HACK|UNDONE)\b[ \t]*(?:\([^)]*\))?[ \t]*[:\-]?", re.I)
 STAMP = re.compile(r"\$\w+(?::[^$\n]*)?\$|(?<!\d)\d{1,4}[./-]\d{1,2}[./-]\d{2,4}(?!\d)(?:[ \t]*\d{1,2}:\d{2})?(?:[ \t]+[A-Za-z]{2,3}[ \t]*$)?", re.M)
 CODE = re.compile(
     r"^[^\n]*:=[^\n]*$"
-    r"|^[ \t]*(?://[ \t]*)?[A-Za-z_][\w.\[\]^]*[ \t]*(?:\([^\n]*\))?[ \t]*;[ \t]*$"
+    r"|^[ \t]*(?://[ \t]*)?[A-Za-z_][\w.\[\]^]*[ \t]*+(?:\([^\n]*\)[ \t]*+)?;[ \t]*+$"
     r"|^[ \t]*(?:if|for|while|with|case|repeat|until|raise|inherited|var|const|uses|procedure|function|begin|end|try|except|finally|else|exit)\b[^\n]*(?:;|\bdo|\bthen|\bof|\bbegin)[ \t]*$"
     r"|^[ \t]*(?:begin|end|try|except|finally|repeat|else)[ \t]*[;.]?[ \t]*$",
     re.M,
@@ -68,47 +73,69 @@ def described(comment: str, name: str) -> str:
     return ""
 
 
-def routine_end(text: str, at: int) -> int:
-    """End of the routine whose heading ends at ``at``: after its body, or after the heading if it has none."""
-    depth, opened, nested, head_end = 0, False, 0, -1
-    parens = 0
-    for m in BLOCK.finditer(text, at):
-        if m.group("skip") is not None:
-            continue
-        w = (m.group("word") or "").lower()
-        if head_end < 0:
-            parens = text.count("(", at, m.start()) - text.count(")", at, m.start())
-            if m.group("semi") and parens <= 0:
-                head_end = m.end()
-            continue
-        if not w:
-            continue
-        if w in ("forward", "external") and not opened:
-            semi = text.find(";", m.end())
-            return semi + 1 if semi >= 0 else len(text)
-        if w in ("begin", "case", "try", "asm", "record"):
-            depth += 1
-            opened = True
-        elif w == "end":
-            depth -= 1
-            if depth < 0:  # the end of the class or unit around a bare heading
-                return head_end
-            if depth == 0 and opened:
-                if nested:
-                    nested, opened = nested - 1, False
-                    continue
-                semi = re.compile(r"\s*[;.]?").match(text, m.end())
-                return semi.end()
-        elif depth == 0 and w in ("function", "procedure", "constructor", "destructor"):
-            between = text[head_end : m.start()]
-            if not re.search(r"(?<!\w)(?:var|const|type|label)(?!\w)", between, re.I) and not re.match(r"\s*(?:\w+\s*;\s*)*\Z", between) or "." in text[m.end() : m.end() + 120].split("(")[0].split(";")[0]:
-                return head_end
-            if not between.strip() or re.match(r"\s*(?:(?:virtual|override|overload|abstract|static|cdecl|stdcall|inline|reintroduce|dynamic)\s*;\s*)*\Z", between, re.I):
+class Blocks:
+    """The words of a text that open and close blocks, read once; ``match`` leads from an opening word to its end."""
+
+    def __init__(self, text: str):
+        self.text, self.words, self.starts, self.ends, self.match, self.heads = text, [], [], [], {}, []
+        open_ = []
+        for m in BLOCK.finditer(text):
+            if m.group("skip") is not None:
+                continue
+            w = m.group("sign") or m.group("word").lower()
+            i = len(self.words)
+            self.words.append(w)
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+            if w in ("begin", "case", "try", "asm", "record"):
+                open_.append(i)
+            elif w == "end" and open_:
+                self.match[open_.pop()] = i
+            elif w in ("function", "procedure", "constructor", "destructor"):
+                self.heads.append(m.start())
+
+    def routine_end(self, at: int) -> int:
+        """End of the routine whose heading ends at ``at``: after its body, or after the heading if it has none.
+
+        A body that is never closed ends where the next heading opens.
+        """
+        text, words, n = self.text, self.words, len(self.words)
+        i, parens = bisect_left(self.starts, at), 0
+        while i < n and (words[i] != ";" or parens > 0):
+            parens += (words[i] == "(") - (words[i] == ")")
+            i += 1
+        if i == n:
+            return len(text)
+        head_end, opened, nested, inner = self.ends[i], False, 0, False
+        while (i := i + 1) < n:
+            w = words[i]
+            if w in ("forward", "external") and not opened:
+                semi = text.find(";", self.ends[i])
+                return semi + 1 if semi >= 0 else len(text)
+            if w in ("begin", "case", "try", "asm", "record"):
+                opened = True
+                if i not in self.match:
+                    k = bisect_left(self.heads, self.ends[i])
+                    return self.heads[k] if k < len(self.heads) else len(text)
+                i = self.match[i]
+                if not nested:
+                    return TAIL.match(text, self.ends[i]).end()
+                nested, opened = nested - 1, False
+            elif w in ("end", "implementation", "initialization", "finalization"):  # the end of the class or unit around a bare heading
                 return head_end
-            nested += 1
-        elif w in ("implementation", "initialization", "finalization") and depth == 0:
-            return head_end
-    return head_end if not opened and head_end > 0 else len(text)
+            elif w in ("function", "procedure", "constructor", "destructor"):
+                if "." in text[self.ends[i] : self.ends[i] + 120].split("(")[0].split(";")[0]:
+                    return head_end
+                if not inner:  # only what stands between the heading and the first inner routine tells
+                    between = text[head_end : self.starts[i]]
+                    if CALLING.match(between) or not LOCAL.search(between) and not DIRECTIVES.match(between):
+                        return head_end
+                nested, inner = nested + 1, True
+        return len(text) if opened else head_end
+
+
+def routine_end(text: str, at: int) -> int:
+    return Blocks(text).routine_end(at)
 
 
 def routines(content: str, comments: str | None) -> Iterator[tuple[str, int, str]]:
@@ -161,11 +188,12 @@ def function_pairs(symbols: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
         for b in batches:
             ids, names, codes, docs = [], [], [], []
             for i, text, com in zip(b.column("id"), b.column("content"), b.column("comments")):
-                text = text.as_py()
+                text, blocks = text.as_py(), None
                 for name, start, doc in routines(text, com.as_py()):
+                    blocks = blocks or Blocks(text)
                     ids.append(i.as_py())
                     names.append(name)
-                    codes.append(text[start : routine_end(text, start + len(name))])
+                    codes.append(text[start : blocks.routine_end(start + len(name))])
                     docs.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(codes, pa.string()), pa.array(docs, pa.string())], ["id", "func_name", "code", "description"])
 
