@@ -302,6 +302,25 @@ def test_routine_ends():
     assert pairs.routine_end(cls, 11) == 12
 
 
+def test_routine_ends_of_hostile_texts():
+    inner = "procedure A;\nvar I: Integer;\n" + "  procedure N;\n  begin\n  end;\n" * 3 + "begin\n  X;\nend;\n"
+    assert pairs.routine_end(inner + "procedure B;\nbegin\nend;", 11) == len(inner) - 1
+    assert pairs.routine_end("procedure A;\nbegin\n  X;\nprocedure T.B;\nbegin\nend;", 11) == 24
+    doc = f"// {DOC}\n"
+    for text in (
+        doc + "procedure A(" + "(" * 60_000 + ";",
+        doc + "procedure A;\nvar x: Integer;\n" + "procedure N; begin end;\n" * 10_000,
+        (doc + "procedure A;\nbegin\n") * 8_000,
+        (doc + "procedure A;\n") * 8_000,
+        doc + " " * 200_000 + "// x\n" + " " * 200_000 + "procedure A;",
+        "// F" + " " * 200_000 + "x;\nprocedure A;",
+    ):
+        began = time.time()
+        blocks = pairs.Blocks(text)
+        total = sum(blocks.routine_end(start + len(name)) - start for name, start, _ in pairs.routines(text, None))
+        assert time.time() - began < 15 and total <= 2 * len(text)
+
+
 def test_pairs_edges(spark):
     s = spark.createDataFrame([(1, f"// {DOC}\nprocedure A;\nbegin\nend;", None, "x.PAS", "c"), (1, f"// {DOC}\nprocedure A;\nbegin\nend;", None, "x.PAS", "c"), (2, None, DOC, "y.pas", ""), (3, f"// {DOC}\nprocedure A;", None, "z.js", ""), (4, f"// {DOC}\nprocedure A;", None, None, "")], "id long, content string, comments string, file_path string, code string")
     got = pairs.function_pairs(s).collect()
@@ -316,15 +335,32 @@ def test_pairs_edges(spark):
 @settings(max_examples=400, deadline=None)
 def test_pieces_cover_and_fit(text, limit, overlap, unit):
     got = splitting.pieces(text, limit, overlap, unit)
+    size = (lambda t: len(t)) if unit == "chars" else (lambda t: sum(not x.isspace() for x in splitting.TOKEN.findall(t)))
     assert got[0][0] == 0 and got[-1][1] == len(text)
     for (a, b), (x, y) in zip(got, got[1:]):
         assert a < x <= b < y
-        if unit == "chars":
-            assert b - x <= overlap
-    size = (lambda t: len(t)) if unit == "chars" else (lambda t: sum(not x.isspace() for x in splitting.TOKEN.findall(t)))
+        assert size(text[x:b]) <= overlap
     assert all(size(text[a:b]) <= limit for a, b in got)
 
 
+@given(st.text(alphabet="ab ._\r\n;é", max_size=80), st.sampled_from(["chars", "words"]), st.integers(1, 30))
+@settings(max_examples=300, deadline=None)
+def test_prefix_sums(text, unit, limit):
+    sizes = splitting.Sizes(text, unit)
+    size = (lambda t: len(t)) if unit == "chars" else (lambda t: sum(not x.isspace() for x in splitting.TOKEN.findall(t)))
+    edges = range(len(text) + 1) if unit == "chars" else sizes.ends
+    for a in edges:
+        assert sizes.farthest(a, limit) == max(b for b in edges if b >= a and size(text[a:b]) <= limit)
+        assert sizes.back(a, limit) == min(b for b in edges if b <= a and size(text[b:a]) <= limit)
+
+
+def test_split_by_words(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    s = spark.createDataFrame([(1, text), (2, "a b c"), (3, None), (4, "x" * 99)], "id long, content string").selectExpr("*", "1 start_line", "1 end_line")
+    got = sorted((r["piece"], r["content"].split()) for r in splitting.split_oversized(s, 20, 3, "words").collect())
+    assert [len(w) for _, w in got] == [20, 20, 16] and got[1][1][:3] == got[0][1][-3:]
+
+
 def test_split_rows(spark):
     text = "".join(f"line {i} of the text;\r\n" for i in range(400))
     rows = [(1, text, 11, 410, "z"), (2, "x" * 4000, 1, 1, "z"), (3, "y" * 9001, None, None, "z"), (4, None, 1, 1, "z"), (5, "\U0001f600" * 4001, None, 7, "z"), (6, "", 1, 1, "z")]
