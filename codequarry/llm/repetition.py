@@ -74,28 +74,46 @@ def repetition(docs: DataFrame, id_col: str, text_col: str, keep: list[Column] |
     return src.mapInArrow(run, schema)
 
 
-def thresholds(shares: DataFrame, lang: str, source: str, quantile: float, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Cutoffs by (language, source), by language, and overall, from one pass of sketches that are merged upwards."""
-    q = F.lit(quantile)
+def thresholds(shares: DataFrame, lang: str, source: str, quantile: float | None, least: int, target: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Cutoffs by (language, source), by language, and overall, from one pass of sketches that are merged upwards.
+
+    A cutoff is the ``quantile`` of the shares, or the last percentile that the sketch puts at or
+    below ``target`` (the least share, if all lie above), which is never above the target unless
+    every share of the group is.
+    """
     fine = shares.groupBy(lang, source).agg(F.kll_sketch_agg_double("share").alias("sketch"), F.count("share").alias("n"))
     by_lang = fine.groupBy(lang).agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
     top = by_lang.agg(F.kll_merge_agg_double("sketch").alias("sketch"), F.sum("n").alias("n"))
-    at = lambda c: F.when(F.col("n") >= least, F.kll_sketch_get_quantile_double("sketch", q)).alias(c)
-    return fine.select(lang, source, at("cut_fine")), by_lang.select(F.col(lang).alias("l_lang"), at("cut_lang")), top.select(F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", q)).alias("cut_all"))
+    if target is None:
+        cut_at = F.kll_sketch_get_quantile_double("sketch", F.lit(quantile))
+    else:
+        ladder = F.kll_sketch_get_quantile_double("sketch", F.array(*(F.lit(i / 100) for i in range(101))))
+        cut_at = F.coalesce(F.array_max(F.filter(ladder, lambda x: x <= target)), F.element_at(ladder, 1))
+    at = lambda c, n: F.when(F.col("n") >= n, cut_at).alias(c)
+    return fine.select(lang, source, at("cut_fine", least)), by_lang.select(F.col(lang).alias("l_lang"), at("cut_lang", least)), top.select(at("cut_all", 1))
+
+
+def clean_label(c: str) -> Column:
+    """Spellings of a language or source fall together: case, outer blanks, ``-`` for ``_``; NULL is ''."""
+    return F.coalesce(F.translate(F.lower(F.trim(F.col(c))), "-", "_"), F.lit(""))
 
 
-def flag_repetitive(shares: DataFrame, lang: str = "lang", source: str = "source", quantile: float = 0.95, floor: float = 0.0, ceiling: float = 1.0, least: int = 200) -> DataFrame:
+def flag_repetitive(shares: DataFrame, lang: str = "lang", source: str = "source", quantile: float = 0.95, floor: float = 0.0, ceiling: float = 1.0, least: int = 200, target: float | None = None) -> DataFrame:
     """Adds ``cutoff`` and ``repetitive`` (share >= cutoff) to shares with a language and a source.
 
-    The cutoff is the group's quantile, held between ``floor`` and ``ceiling``. NULL and
-    differently spelled languages and sources fall together (lower case, ``-`` as ``_``; NULL as '').
-    The group tables hold one row per language and source; the join on them is left to the
-    optimizer, which broadcasts them by size or splits skewed keys.
+    The cutoff is the group's quantile, held between ``floor`` and ``ceiling``. With ``target``
+    it is instead the last percentile of the group at or below the target, so that the flag holds
+    every text of the group at or above the target and few below; an exact check can follow.
+    NULL and differently spelled languages and sources fall together. The group tables hold one
+    row per language and source; the join on them is left to the optimizer, which broadcasts them
+    by size or splits skewed keys.
     """
-    clean = lambda c: F.coalesce(F.translate(F.lower(F.trim(F.col(c))), "-", "_"), F.lit(""))
-    s = cut(shares.withColumn("_lang", clean(lang)).withColumn("_source", clean(source)))  # texts are read once, not again for each sketch
-    fine, by_lang, top = thresholds(s, "_lang", "_source", quantile, least)
-    cuts = fine.join(by_lang, F.col("_lang") == F.col("l_lang")).crossJoin(F.broadcast(top)).select(F.col("_lang").alias("c_lang"), F.col("_source").alias("c_source"), F.coalesce("cut_fine", "cut_lang", "cut_all").alias("cutoff"))
+    s = cut(shares.withColumn("_lang", clean_label(lang)).withColumn("_source", clean_label(source)))  # texts are read once, not again for each sketch
+    fine, by_lang, top = thresholds(s, "_lang", "_source", quantile, least, target)
+    cuts = fine.join(by_lang, F.col("_lang") == F.col("l_lang")).crossJoin(F.broadcast(top)).select(F.col("_lang").alias("c_lang"), F.col("_source").alias("c_source"), F.coalesce("cut_fine", "cut_lang", "cut_all").alias("cutoff"), "cut_fine")
     joined = s.join(cuts, (F.col("_lang") == F.col("c_lang")) & (F.col("_source") == F.col("c_source")))
-    cutoff = F.least(F.greatest(F.col("cutoff"), F.lit(floor)), F.lit(ceiling))
-    return joined.withColumn("cutoff", cutoff).withColumn("repetitive", F.col("share") >= F.col("cutoff")).drop("_lang", "_source", "c_lang", "c_source")
+    if target is None:
+        cutoff = F.least(F.greatest(F.col("cutoff"), F.lit(floor)), F.lit(ceiling))
+    else:  # a wider group's shares may all lie above the target while some of this group don't
+        cutoff = F.when(F.col("cut_fine").isNotNull(), F.col("cutoff")).otherwise(F.least(F.col("cutoff"), F.lit(target)))
+    return joined.withColumn("cutoff", cutoff).withColumn("repetitive", F.col("share") >= F.col("cutoff")).drop("_lang", "_source", "c_lang", "c_source", "cut_fine")

@@ -62,6 +62,19 @@ def test_adaptive_cutoffs(spark):
     assert repetition.flag_repetitive(s.limit(0)).count() == 0
 
 
+def test_target_cutoffs_lose_nothing(spark):
+    rng = random.Random(9)
+    rows = [(i, "en", f"s{i % 5}", round(rng.random() ** (1 + 3 * (i % 5)), 3)) for i in range(4000)]
+    rows += [(5000 + i, "de", "all_high", 0.5 + i / 1000) for i in range(300)] + [(6000 + i, "fr", "few", 0.1 * i) for i in range(9)] + [(7000 + i, "es", "low", i / 10_000) for i in range(400)]
+    s = spark.createDataFrame(rows, "doc_id long, lang string, source string, share double")
+    got = repetition.flag_repetitive(s, target=0.3).collect()
+    want = {r[0] for r in rows if r[3] >= 0.3}
+    kept = {r["doc_id"] for r in got if r["repetitive"]}
+    assert want <= kept and len(kept - want) < 0.05 * len(rows)  # few are left for the exact check
+    cutoffs = {r["source"]: r["cutoff"] for r in got}
+    assert cutoffs["low"] < 0.04 and cutoffs["all_high"] == 0.5 and len(set(cutoffs.values())) > 4
+
+
 # ---------------------------------------------------------------- contamination
 
 ITEM = "the quick brown fox jumps over the lazy dog while seven wizards quietly boil an enormous kettle of green soup beside the frozen lake near Müller house until somebody finally rings the bronze bell again"
