@@ -23,21 +23,28 @@ from codequarry.session import cut
 # Words with which folders of foreign code, licence heads and generators' heads are marked.
 FOREIGN_FOLDERS = ["vendor", "vendors", "vendored", "thirdparty", "third_party", "third-party", "3rd", "3rdparty", "3rd_party", "3rd-party", "contrib", "upstream", "foreign", "bought", "ext", "extern", "externals", "node_modules", "bower_components", "deps"]
 FOREIGN_HEAD = re.compile(
-    r"licen[sc]ed under|licen[sc]e (?:file|terms)|see licen[sc]e|licen[sc]e: |lizenz siehe|lizenziert unter|bajo (?:la )?licencia|sous (?:la )?licence|the original code is|(?:from|to) upstream|upstream changes|redistributed with permission|(?:stammt|übernommen) (?:aus|von)|copyright \(c\) \d{4}[-\d, ]* (?:by )?the [\w.+-]+ (?:authors|project|contributors)|\b(?:[LA]?GPL|MPL)\b|\b(?:apache|mit|bsd) licen[sc]e|component suite|\{[\w.+-]+-LOCAL\}",
-    re.I,
+    r"licen[sc]ed under|licen[sc]e (?:file|terms)|see licen[sc]e|lizenz siehe|lizenziert unter|bajo (?:la )?licencia|sous (?:la )?licence|the original code is|(?:from|to) upstream|upstream changes|redistributed with permission|(?:stammt|übernommen) (?:aus|von)|copyright \(c\) \d{4}[-\d, ]* (?:by )?the [\w.+-]+ (?:authors|project|contributors)|\b(?:[LA]?GPL|MPL)\b|\b(?:apache|mit|bsd) licen[sc]e"
+    # a label only where it opens a line: 'without a licence: ...' is a sentence of the team's own
+    r"|^[^\w\n]*(?:spdx-licen[sc]e-identifier|licen[sc]e|lizenz|licencia)[ \t]*:",
+    re.I | re.M,
 )
 GENERATED_HEAD = re.compile(
-    r"<auto-?generated|@generated\b|\bauto-?generated\b|(?<!prints )\bgenerated (?:by|from|with|automatically|using)\b|(?:file|unit|code|module) (?:was|is|has been) (?:automatically |auto-?)?generated|(?:do not|don't) (?:edit|modify|change)|regenerate instead|machine[- ](?:made|generated)|written by the importer|type library import|manual changes will be lost|automatisch (?:erzeugt|generiert|erstellt)|nicht (?:ae|ä)ndern|nicht bearbeiten|(?:generado|creado) autom|no (?:modificar|editar|tocar)|(?:produit|généré|créé) (?:par un outil|automatiquement|par)|ne pas (?:modifier|éditer|toucher)",
-    re.I,
+    r"<auto-?generated|@generated\b|\bauto-?generated\b|(?:file|unit|code|module) (?:was|is|has been) (?:automatically |auto-?)?generated|(?:do not|don't) (?:edit|modify|change)|instead of editing|machine[- ](?:made|generated)|written by the importer|type library import|manual changes will be lost|automatisch (?:erzeugt|generiert|erstellt)|nicht (?:ae|ä)ndern|nicht bearbeiten|(?:generado|creado) autom|no (?:modificar|editar|tocar)|(?:produit|généré|créé) (?:par un outil|automatiquement|par)|ne pas (?:modifier|éditer|toucher)"
+    # only where it opens a line or sentence, or is said of something before it: 'prints numbers generated by ...' is none
+    r"|(?:^[^\w\n]*|[.;:][ \t]+|\b(?:is|was|been|automatically)[ \t]+)generated (?:by|from|with|automatically|using)\b",
+    re.I | re.M,
 )
 GENERATED_NAME = r"_(tlb|impl)\.(pas|inc)$"
 
 LEAST_LINE = 12  #: Shorter lines, without white space, tell nothing.
 LEAST_LINES = 3  #: Files with fewer lines in the index are not judged by containment.
 CONTAINED = 0.5  #: Share of a file's lines in one third-party file.
-TREE_SHARE, TREE_FILES, TREE_DEPTH = 0.6, 8, 4  #: A tree is of a category if this share of at least so many files has it; trees open within this depth.
+TREE_SHARE, TREE_FILES = 0.6, 8  #: A tree is of a category if this share of at least so many files has it.
 
 HEAD = re.compile(r"\s*(?:\{(?!\$)[^}]*\}|\(\*.*?\*\)|//[^\n]*|/\*.*?\*/|\s+)*", re.S)
+#: What stands before a routine's parameters, and a name with a number in it.
+HEADING = re.compile(r"[^(;:=\r\n]*")
+SERIAL = re.compile(r"[A-Za-z_][A-Za-z_.]*?(?=\d)\d+[A-Za-z_]*")
 IDENT = re.compile(r"[A-Za-z_]\w*")
 BLOB = re.compile(r"[A-Za-z0-9+/=]{40,}|(?:[$#]?(?:0x)?[0-9A-Fa-f]{1,8}[ \t]*,[ \t\r\n]*){8,}|'[^'\n]{160,}'|(?:#\d{1,3}){12,}")
 STRING = re.compile(r"'[^'\n]*'?")
@@ -79,8 +86,8 @@ def look(kind: str, content: str, comments: str) -> tuple:
         t = NUMBER.sub("9", STRING.sub("S", content))
         t = IDENT.sub(lambda m: m.group().lower() if m.group().lower() in KEYWORDS else "x", t)
         template = h64(t)
-        m = re.search(r"[A-Za-z_][A-Za-z_.]*?(?=\d)\d+[A-Za-z_]*", content[len(head) : len(head) + 200])
-        if m and m.start() < 60:
+        m = SERIAL.search(content, len(head), HEADING.match(content, len(head)).end())
+        if m:
             stem = h64(re.sub(r"\d+", "9", m.group()))
     return generated, foreign, chars, blob, idents, short, spaces, template, stem, lines
 
@@ -108,10 +115,10 @@ def _rows(symbols: DataFrame) -> DataFrame:
 def tree_categories(files: DataFrame, folders: DataFrame) -> DataFrame:
     """(key, tree_category): the category that most files and folders in a tree carry, for files in third-party or stdlib trees.
 
-    Votes are counted for each ancestor within the first levels; the deepest clear one decides.
+    Votes are counted for every folder above a file; the deepest clear one decides.
     """
     votes = files.select(F.col("key"), "category").unionByName(folders.where(F.col("folder_path").isNotNull()).select(F.concat(path_key(F.col("folder_path")), F.lit("/.")).alias("key"), F.col("source_category").alias("category")).distinct())
-    up = lambda d: d.withColumn("parts", F.split("key", "/")).withColumn("n", F.explode(F.sequence(F.lit(2), F.greatest(F.least(F.size("parts") - 1, F.lit(TREE_DEPTH)), F.lit(2)))))
+    up = lambda d: d.withColumn("parts", F.split("key", "/")).withColumn("n", F.explode(F.sequence(F.lit(2), F.greatest(F.size("parts") - 1, F.lit(2)))))
     above = lambda d: up(d).where(F.col("n") < F.size("parts")).withColumn("root", F.array_join(F.slice("parts", 1, F.col("n")), "/"))
     third, std = (F.avg((F.col("category") == c).cast("double")) for c in ("third_party", "stdlib"))
     roots = above(votes).groupBy("root").agg(F.count("*").alias("files"), third.alias("third"), std.alias("std")).where((F.col("files") >= TREE_FILES) & ((F.col("third") >= TREE_SHARE) | (F.col("std") >= TREE_SHARE)))

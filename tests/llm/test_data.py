@@ -136,6 +136,9 @@ def tree(spark):
         add(f"D:\\Src\\Lib\\u{i}.pas", parts, "user" if i % 5 == 0 else "third_party", case=True)
     for i in range(40):
         add(f"C:\\Work\\Team\\Core\\h{i}.pas", [routine(rng) for _ in range(10)], "third_party" if i % 9 == 0 else "user", "Team, internal use." if i % 2 else "Written here; prints generated numbers without a licence.")
+    add("C:\\Work\\Team\\Core\\sentence.pas", [routine(rng) for _ in range(10)], head="Never sends a report without a licence: the copy goes first. Prints numbers generated by the invoice module.")
+    add("C:\\Work\\Team\\label.pas", [routine(rng) for _ in range(10)], head="// Some unit.\n// Licence: X-3", case=True)
+    add("C:\\Work\\Team\\claim.pas", [routine(rng) for _ in range(10)], head="* Generated with maker 3.", case=True)
     for i in range(12):
         add(f"/mnt/w/Std/s{i}.pas", [routine(rng) for _ in range(8)], "stdlib")
     add("/mnt/w/Std/vendor/v.pas", [routine(rng) for _ in range(8)], "stdlib")  # its vendor folders are no case
