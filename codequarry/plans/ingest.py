@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime, timezone
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from codequarry.functions import text
@@ -43,28 +45,24 @@ def index_folder(spark: SparkSession, store: IndexStore, root: str, force: bool
     status = cut(maintain.file_status(current.select("file_key", "file_hash", "modified_at"), stored))
     counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
     todo = status.where(F.col("status").isin("new", "modified")).select("file_key")
-    gone = status.where(F.col("status").isin("modified", "deleted")).select("file_key")
     if counts.keys() - {"skipped", "unchanged"} or not store.version("symbols"):
         work = texts.withColumn("file_key", path_key(F.col("path"))).join(todo, "file_key", "left_semi")
         symbols = cut(to_symbols(parser.parse_units(work, "path", "text"), source_category=category))
-        keep, vectors = maintain.cascade_delete(store.read("symbols"), store.read("vec_embeddings"), gone)
-        new = maintain.upsert_latest(symbols, ["id"], ["start_line"])
-        merged = maintain.upsert_latest(keep.unionByName(new, allowMissingColumns=True), ["id"], ["created_at"])
-        store.write("symbols", merged, ["content_type", "source_category"])
+        new = cut(maintain.upsert_latest(symbols, ["id"], ["start_line"]))
+        dead = cut(status.where(F.col("status").isin("new", "modified", "deleted")).select("file_key"))
+        store.replace("symbols", dead, new)
         if dim:
             c = F.col
             t = text.embedding_text(c("name"), c("full_name"), c("type"), c("parent_class"), F.array_join("implemented_interfaces", ","), c("file_path"), c("comments"), c("content"))
-            made = embed_column(new.select(F.col("id").alias("symbol_id"), F.col("id").cast("string").alias("chunk_id"), t.alias("embedding_text")), "embedding_text", dim).withColumnRenamed("vec", "embedding")
-            store.write("vec_embeddings", vectors.unionByName(made, allowMissingColumns=True))
+            made = embed_column(new.select(F.col("id").alias("symbol_id"), F.col("id").cast("string").alias("chunk_id"), t.alias("embedding_text"), "file_path"), "embedding_text", dim).withColumnRenamed("vec", "embedding")
+            store.replace("vec_embeddings", dead, cut(made))
+        elif store.version("vec_embeddings"):
+            store.replace("vec_embeddings", dead, store.read("vec_embeddings").limit(0))
         n = new.groupBy("file_path").agg(F.count("*").alias("chunks_count"))
         rows = current.join(todo, "file_key", "left_semi").join(n, F.col("path") == F.col("file_path"), "left")
         rows = rows.select(F.col("path").alias("file_path"), F.regexp_replace("path", "/[^/]*$", "").alias("folder_path"), "file_hash", F.col("size").alias("file_size"), F.col("modified_at").alias("last_modified"), F.lit(began).alias("indexed_at"), F.coalesce("chunks_count", F.lit(0)).cast("int").alias("chunks_count"))
-        dead = status.where(F.col("status").isin("new", "modified", "deleted")).select(F.col("file_key").alias("_k"))
-        old = store.read("indexed_files").withColumn("_k", path_key(F.col("file_path"))).join(dead, "_k", "left_anti").drop("_k")
-        store.write("indexed_files", old.unionByName(rows, allowMissingColumns=True))
-        cache = store.read("query_cache")
-        if store.version("query_cache"):
-            store.write("query_cache", cache.withColumn("cache_valid", F.lit(False)))
+        store.replace("indexed_files", dead, cut(rows))
+        store.update("query_cache", lambda c: c.withColumn("cache_valid", F.lit(False)), "query_hash")
     seconds = int((datetime.now(timezone.utc) - began).total_seconds())
     files = store.read("indexed_files")
     tree = maintain.merkle(files.select(path_key(F.col("file_path")).alias("path"), F.col("file_hash").alias("hash")))
@@ -77,17 +75,40 @@ def index_folder(spark: SparkSession, store: IndexStore, root: str, force: bool
     return counts
 
 
+def reindex(spark: SparkSession, store: IndexStore, force: bool = False, dim: int = 0) -> dict[str, dict[str, int]]:
+    """Brings every root folder of the index up to date, by path, each under its category; counts as ``index_folder`` gives them.
+
+    Roots are the folders without a parent in the index; there are few of them by nature. A root
+    that is no longer there is reported with no counts, and its rows stay.
+    """
+    roots = store.read("indexed_folders").where("parent_folder_path is null").select("folder_path", "source_category").orderBy("folder_path").collect()
+    out = {}
+    for r in roots:
+        spelled = store.read("indexed_files").where((path_key(F.col("folder_path")) == r["folder_path"]) | F.startswith(path_key(F.col("folder_path")), F.lit(r["folder_path"] + "/"))).select("folder_path").limit(1).collect()
+        root = spelled[0]["folder_path"][: len(r["folder_path"])] if spelled else r["folder_path"]
+        try:
+            out[root] = index_folder(spark, store, root, force, dim, r["source_category"] or "user")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            out[root] = {}
+    return out
+
+
 def index_packages(spark: SparkSession, store: IndexStore, root: str) -> None:
     """Package sources below a folder to ``packages`` and ``package_files``, with their frameworks by dependency."""
     from codequarry.operators import intel
 
     found = src.package_files(spark, root)
 
-    @F.udf("struct<requires:array<string>,contains:array<struct<unit:string,path:string>>,tag:string>")
-    def clauses(t):  # few, small files: one call each
-        return parser.package_clauses(t or "")
+    def clauses(batches):
+        for b in batches:
+            got = [parser.package_clauses(t or "") for t in b.column("text").to_pylist()]
+            c = pa.array([{"requires": r, "contains": [{"unit": u, "path": p} for u, p in k], "tag": t} for r, k, t in got], pa.struct([("requires", pa.list_(pa.string())), ("contains", pa.list_(pa.struct([("unit", pa.string()), ("path", pa.string())]))), ("tag", pa.string())]))
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("text"), c], ["path", "text", "c"])
 
-    p = cut(found.select(src.stem(F.col("path")).alias("package_name"), F.col("path").alias("package_path"), F.md5(F.col("text").cast("binary")).alias("file_hash"), clauses("text").alias("c")))
+    read = found.mapInArrow(clauses, "path string, text string, c struct<requires:array<string>,contains:array<struct<unit:string,path:string>>,tag:string>")
+    p = cut(read.select(src.stem(F.col("path")).alias("package_name"), F.col("path").alias("package_path"), F.md5(F.col("text").cast("binary")).alias("file_hash"), "c"))
     req = p.select(F.col("package_name").alias("package"), F.posexplode_outer("c.requires").alias("ordinal", "requires"))
     fw = intel.package_frameworks(req.withColumn("ordinal", F.coalesce("ordinal", F.lit(0))), p.where("c.tag is not null").select(F.col("package_name").alias("package"), F.col("c.tag").alias("tag")))
     out = p.join(fw, F.lower("package_name") == F.col("package")).select("package_name", "package_path", "framework", F.lit("requires").alias("detection_method"), F.current_timestamp().alias("last_scanned"), "file_hash", F.col("c.requires").alias("requires"), F.col("c.contains.unit").alias("contains"), F.current_timestamp().alias("created_at"))

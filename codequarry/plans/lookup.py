@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
@@ -45,23 +46,57 @@ class SearchRequest:
         return hashlib.md5("|".join("" if p is None else str(p) for p in parts).encode()).hexdigest()
 
 
+#: Seconds for which the vector of a query is kept.
+VECTOR_SECONDS = 3600
+
+
 class Lookup:
-    def __init__(self, spark: SparkSession, store: IndexStore, dim: int = 64):
-        self.spark, self.store, self.dim = spark, store, dim
+    """Lookups over one store. ``embed`` turns (text) rows into vectors, ``scorer`` reranks; either may be a service that fails.
+
+    Without vectors a lookup goes on with its other stages, without a scorer it keeps its ranking;
+    what went wrong is in ``warnings`` of the last run.
+    """
+
+    def __init__(self, spark: SparkSession, store: IndexStore, dim: int = 64, embed: Callable[[DataFrame, str, int], DataFrame] = embed_column, scorer: Callable = search.lexical_score):
+        self.spark, self.store, self.dim, self.embed, self.scorer = spark, store, dim, embed, scorer
+        self.warnings: list[str] = []
+        self._vectors: dict[str, tuple[float, list[float]]] = {}
+
+    def vector(self, q: str) -> list[float]:
+        """The query's vector, asked for once an hour."""
+        at, v = self._vectors.get(q, (0.0, []))
+        if time.time() - at > VECTOR_SECONDS:
+            v = list(self.embed(self.spark.createDataFrame([(q,)], "text string"), "text", self.dim).first()["vec"])
+            if len(v) != self.dim:
+                raise ValueError(f"the vector has {len(v)} numbers, the index {self.dim}")
+            self._vectors[q] = (time.time(), v)
+        return v
 
     def plan(self, r: SearchRequest) -> DataFrame:
         """The ranked results as a plan: (query_id, symbol_id, match_type, is_exact, score, rank)."""
         symbols = self.store.read("symbols").withColumn("domain_tags", F.array_join("domain_tags", ","))
         q = self.spark.createDataFrame([(1, r.query)], "query_id long, text string")
         n = r.candidates if r.reranked else r.n
-        near = None
+        near, vec = None, None
+        self.warnings = []
         if r.semantic:
+            try:
+                vec = self.vector(r.query)
+            except Exception as e:  # a service that fails takes no result away
+                self.warnings.append(f"no vectors: {e}")
+        if vec is not None:
             # filters narrow the vectors too; twice the results, as both sides lose some in the merge
             kept = search.filtered(symbols, r.filters).select(F.col("id").alias("_s"))
             v = self.store.read("vec_embeddings").join(kept, F.col("symbol_id") == F.col("_s"), "left_semi").select(F.col("symbol_id").alias("id"), F.col("embedding").alias("vec"))
-            near = vectors.as_stage(vectors.knn(embed_column(q, "text", self.dim).select("query_id", "vec"), v, 4 * n, dim=self.dim, max_distance=r.max_distance))
+            near = vectors.as_stage(vectors.knn(self.spark.createDataFrame([(1, vec)], "query_id long, vec array<double>"), v, 4 * n, dim=self.dim, max_distance=r.max_distance))
         got = search.hybrid(q, symbols, n, r.filters, near, r.preferred)
-        return search.rerank(q, got, symbols, r.n) if r.reranked else got
+        if not r.reranked:
+            return got
+        try:
+            return search.rerank(q, got, symbols, r.n, self.scorer)
+        except Exception as e:
+            self.warnings.append(f"not reranked: {e}")
+            return got.where(F.col("rank") <= r.n)
 
     def cached(self, key: str) -> list[Row] | None:
         """The symbols of a valid cache entry, or None; an entry with a lost or changed symbol doesn't count. No results are a hit too."""
@@ -99,7 +134,7 @@ class Lookup:
         m = mine[0].asDict() if mine else {"hit_count": 0, "avg_duration_ms": 0, "first_seen": now}
         hits = m["hit_count"] or 0
         row = self.spark.createDataFrame([(key, r.query, ids, len(rows), True, hits + 1, m["first_seen"], now, ((m["avg_duration_ms"] or 0) * hits + ms) // (hits + 1))], old.schema)
-        self.store.write("query_cache", old.where(F.col("query_hash") != key).unionByName(row))
+        self.store.replace("query_cache", row.select(F.col("query_hash").alias("file_key")), row, "query_hash")
 
 
 def format_results(rows: DataFrame) -> DataFrame:

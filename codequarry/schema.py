@@ -22,7 +22,7 @@ TABLES: dict[str, T.StructType] = {
     name: T.StructType([T.StructField(c.split()[0], _TYPES[c.split()[1]]) for c in ddl.split(", ")])
     for name, ddl in {
         "symbols": "id bigint, name string, full_name string, type string, file_path string, content string, enriched_text string, spanish_terms array<string>, domain_tags array<string>, comments string, parent_class string, implemented_interfaces array<string>, visibility string, start_line int, end_line int, content_type string, source_category string, framework string, platforms array<string>, delphi_version string, introduced_version string, deprecated_version string, is_inherited boolean, inherited_from string, content_hash string, created_at timestamp, container string, ancestor string, is_declaration boolean",
-        "vec_embeddings": "symbol_id bigint, chunk_id string, embedding_text string, embedding array<float>",
+        "vec_embeddings": "symbol_id bigint, chunk_id string, embedding_text string, embedding array<float>, file_path string",
         "metadata": "key string, value string",
         "indexed_folders": "folder_path string, indexed_at timestamp, duration_seconds int, files_count int, chunks_count int, content_type string, source_category string, folder_hash string, parent_folder_path string, subfolders array<string>",
         "indexed_files": "file_path string, folder_path string, file_hash string, file_size bigint, last_modified timestamp, indexed_at timestamp, chunks_count int",

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -20,6 +22,8 @@ def local_session(cpus: int | str = "*", app: str = "codequarry", shuffle: int |
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", _own_folder())
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("CODEQUARRY_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
@@ -30,11 +34,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _own_folder() -> str:
+    """The folder of a session on one machine, gone with the process: one that the environment names, or a new one."""
+    root = os.environ.get("CODEQUARRY_LOCAL_SHARED")
+    if not root:
+        root = os.environ["CODEQUARRY_LOCAL_SHARED"] = tempfile.mkdtemp(prefix="codequarry-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a session on one machine may go without."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = os.environ.setdefault("CODEQUARRY_LOCAL_SHARED", tempfile.mkdtemp(prefix="codequarry-"))
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _own_folder()
     return root.rstrip("/")
 
 

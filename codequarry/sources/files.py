@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +25,17 @@ def excluded(path: Column) -> Column:
     return F.coalesce(p.rlike(EXCLUDED_FILES) | F.arrays_overlap(F.split(p, "/"), F.array(*map(F.lit, EXCLUDED_FOLDERS))), F.lit(False))
 
 
+def _located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path in it: that of its scheme, or the local one where it has none."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 def list_files(spark: SparkSession, root: str, glob: str = "*.pas") -> DataFrame:
     """(path, modified_at, size) of files below a folder, without their content, less the excluded ones.
 
     Folders with a ``.noindex`` file are left out with all below them. A missing folder raises.
-    The folder must be mounted at the same place on all nodes.
+    The folder may lie in any file system that Spark and Arrow know; one without a scheme must
+    be mounted at the same place on all nodes.
     """
     read = lambda g: spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", g).load(root).select("path", F.col("modificationTime").alias("modified_at"), F.col("length").alias("size"))
     files = read(glob).withColumn("path", F.regexp_replace("path", "^file:/*", "/"))
@@ -40,7 +46,11 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.pas") -> DataFrame
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Spark's own listing passes over files whose names open with a dot
         for b in batches:
-            yield b.filter(pa.array([os.path.exists(f"{f}/{NO_INDEX}") for f in b.column("folder").to_pylist()], pa.bool_()))
+            found = []
+            for f in b.column("folder").to_pylist():
+                where, p = _located(f"{f}/{NO_INDEX}")
+                found.append(where.get_file_info(p).type != fs.FileType.NotFound)
+            yield b.filter(pa.array(found, pa.bool_()))
 
     marks = up.select("folder").distinct().mapInArrow(marked, "folder string")
     hidden = up.join(marks, "folder", "left_semi").select("path").distinct()
@@ -49,7 +59,8 @@ def list_files(spark: SparkSession, root: str, glob: str = "*.pas") -> DataFrame
 
 def _folders(path: Column) -> Column:
     parts = F.split(path, "/")
-    return F.transform(F.sequence(F.lit(2), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    first = F.when(F.contains(path, F.lit("://")), 4).otherwise(2)  # below a scheme and its host
+    return F.transform(F.sequence(F.least(first, F.size(parts) - 1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
 
 
 def read_text(spark: SparkSession, files: DataFrame) -> DataFrame:
@@ -59,7 +70,8 @@ def read_text(spark: SparkSession, files: DataFrame) -> DataFrame:
         for b in batches:
             paths, texts = [], []
             for p in b.column("path").to_pylist():
-                with open(p, "rb") as f:
+                where, at = _located(p)
+                with where.open_input_stream(at) as f:
                     raw = f.read()
                 try:
                     t = raw.decode("utf-8-sig")
@@ -128,9 +140,10 @@ def stem(path: Column) -> Column:
 def write_overrides(entries: DataFrame, path: str) -> None:
     """Writes (ordinal, file, pattern, framework, reason) as one mapping file {overrides: [...]}, in order, without NULL fields."""
     rows = entries.orderBy("ordinal").toLocalIterator()
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"overrides": [')
+    where, at = _located(path)
+    with where.open_output_stream(at) as f:
+        f.write(b'{"overrides": [')
         for i, r in enumerate(rows):
             e = {k: v for k, v in r.asDict().items() if k != "ordinal" and v is not None}
-            f.write((",\n  " if i else "\n  ") + json.dumps(e, ensure_ascii=False))
-        f.write("\n]}\n")
+            f.write(((",\n  " if i else "\n  ") + json.dumps(e, ensure_ascii=False)).encode())
+        f.write(b"\n]}\n")

@@ -12,8 +12,10 @@ nothing is taken twice.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,28 +24,50 @@ PARTITIONS = 32
 
 
 class Store:
-    """Small JSON files in a folder that all nodes share, written by rename."""
+    """Small JSON values in a folder that all nodes share.
+
+    A file is written under another name and then renamed to one that must not exist, so readers
+    see whole files, a crash loses nothing, and of two writers one fails. ``write`` keeps a value
+    that changes as numbered files, of which the last counts.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
         self._jvm = spark._jvm
         self._path = self._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self.root).getFileSystem(self._conf)
 
-    def write(self, name: str, value: dict) -> None:
-        tmp, to = self._path(f"{self.root}/.{name}.tmp"), self._path(f"{self.root}/{name}")
+    def put(self, name: str, value: dict) -> None:
+        """Writes a name that was never written before; raises if it was."""
+        tmp, to = self._path(f"{self.root}/.{name}.{uuid.uuid4().hex}"), self._path(f"{self.root}/{name}")
         out = self._fs.create(tmp, True)
         try:
             out.write(bytearray(json.dumps(value).encode()))
         finally:
             out.close()
-        if self._fs.exists(to):
-            self._fs.delete(to, False)
-        if not self._fs.rename(tmp, to):
-            raise OSError(f"can't write {to}")
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        plain = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(self._fs.makeQualified(tmp), self._fs.makeQualified(to), plain)
+        except Py4JJavaError as e:
+            self._fs.delete(tmp, False)
+            raise FileExistsError(f"another run has written {to}") from e
+
+    def write(self, name: str, value: dict) -> None:
+        """The next value of a name; the one before stays until the one after, for readers under way."""
+        n = self._number(name) + 1
+        self.put(f"{name}~{n:010d}", value)
+        for old in self.names():
+            if old.startswith(f"{name}~") and int(old[len(name) + 1 :]) < n - 1:
+                self._fs.delete(self._path(f"{self.root}/{old}"), False)
+
+    def _number(self, name: str) -> int:
+        return max((int(x[len(name) + 1 :]) for x in self.names() if x.startswith(f"{name}~")), default=0)
 
     def read(self, name: str) -> dict | None:
-        at = self._path(f"{self.root}/{name}")
+        n = self._number(name)
+        at = self._path(f"{self.root}/{name}~{n:010d}" if n else f"{self.root}/{name}")
         if not self._fs.exists(at):
             return None
         stream = self._fs.open(at)
@@ -52,10 +76,14 @@ class Store:
         finally:
             stream.close()
 
-    def names(self) -> list[str]:
-        root = self._path(self.root)
+    def names(self, folder: str | None = None) -> list[str]:
+        root = self._path(folder or self.root)
         return sorted(f.getPath().getName() for f in self._fs.listStatus(root)) if self._fs.exists(root) else []
 
+    def drop(self, path: str) -> None:
+        """Deletes a folder below the shared one, with all it holds."""
+        self._fs.delete(self._path(path), True)
+
 
 class ChangeLog:
     """Batches over one log; ``root`` keeps plans, commits and the sink.
@@ -98,7 +126,7 @@ class ChangeLog:
         if all(start.get(p) is not None and start[p] >= m for p, m in ends.items()):
             return None
         plan = {"from": start, "to": {**start, **{p: max(m, start.get(p, m)) for p, m in ends.items()}}}
-        self.store.write(f"plan-{n:08d}", plan)
+        self.store.put(f"plan-{n:08d}", plan)
         return n, plan
 
     def rows(self, log: DataFrame, plan: dict) -> DataFrame:
@@ -118,7 +146,7 @@ class ChangeLog:
             return None
         n, plan = planned
         work(self.rows(log, plan)).write.mode("overwrite").parquet(f"{self.root}/sink/batch={n}")
-        self.store.write(f"commit-{n:08d}", {"batch": n})
+        self.store.put(f"commit-{n:08d}", {"batch": n})
         return n
 
     def sink(self) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from codequarry.functions.paths import path_key
 from codequarry.operators import maintain, parser
 from codequarry.plans.ingest import to_symbols
 from codequarry.plans.store import IndexStore
+from codequarry.session import cut
 
 
 def file_stream(spark: SparkSession, folder: str, glob: str = "*.pas") -> DataFrame:
@@ -23,10 +25,10 @@ def ingest(stream: DataFrame, store: IndexStore, checkpoint: str):
     """Parses files and upserts their symbols batch by batch; a replayed batch gives the same index."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        new = to_symbols(parser.parse_units(batch, "path", "text"))
-        files = batch.select(F.col("path").alias("file_path")).distinct()
-        keep = store.read("symbols").join(files, "file_path", "left_anti")
-        store.write("symbols", maintain.upsert_latest(keep.unionByName(new, allowMissingColumns=True), ["id"], ["created_at"]), ["content_type", "source_category"])
+        batch = cut(batch.select("path", path_key(F.col("path")).alias("file_key"), "text"))
+        new = cut(maintain.upsert_latest(to_symbols(parser.parse_units(batch, "path", "text")), ["id"], ["start_line"]))
+        if batch.limit(1).count():
+            store.replace("symbols", batch.select("file_key"), new)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

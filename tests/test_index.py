@@ -75,6 +75,57 @@ def test_lookup_cache_and_editor(spark, tree, tmp_path):
     assert "Relevance: 1.00 (x)" in shown
 
 
+def test_buckets_and_reindex(spark, tree, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "ix"), buckets=8)
+    ingest.index_folder(spark, store, str(tree / "sub"), dim=16, category="stdlib")
+    ingest.index_folder(spark, store, str(tree), dim=16)
+    before = store._now("symbols")["buckets"]
+    (tree / "sub/c.pas").write_text("unit C;\ninterface\nprocedure Delta;\nimplementation\nprocedure Delta;\nbegin\nend;\nend.\n")
+    got = ingest.reindex(spark, store, dim=16)
+    assert list(got) == [str(tree)] and got[str(tree)]["new"] == 1
+    after = store._now("symbols")["buckets"]
+    assert sum(before.get(b) != v for b, v in after.items()) == 1  # one file, one bucket
+    assert store.read("vec_embeddings").count() == store.read("symbols").count()
+    assert store.read("symbols").where("name = 'Delta'").count() == 2 and store.update("packages", lambda d: d) == 0
+    files_ = spark.createDataFrame([(None, None)], "file_path string, file_hash string")
+    store.replace("indexed_files", store.read("indexed_files").selectExpr("lower(file_path) file_key"), files_)
+    assert [r["file_path"] for r in store.read("indexed_files").collect()] == [None]
+    import shutil
+
+    shutil.rmtree(tree)
+    assert list(ingest.reindex(spark, store).values()) == [{}]
+
+
+def test_services_that_fail(spark, tree, tmp_path):
+    store = IndexStore(spark, str(tmp_path / "ix"))
+    ingest.index_folder(spark, store, str(tree), dim=16)
+
+    def broken(*_):
+        raise ConnectionError("no service")
+
+    look = Lookup(spark, store, 16, embed=broken, scorer=broken)
+    got = look.run(SearchRequest("alpha", n=2, semantic=True, reranked=True))
+    assert got and len(got) <= 2 and len(look.warnings) == 2
+    fine = Lookup(spark, store, 16)
+    assert fine.vector("alpha") is fine.vector("alpha")
+    wrong = Lookup(spark, store, 8, embed=lambda d, c, n: ingest.embed_column(d, c, 16))
+    with pytest.raises(ValueError):
+        wrong.vector("alpha")
+
+
+def test_state_files_are_written_once(spark, tmp_path):
+    from codequarry.streaming.changelog import Store
+
+    s = Store(spark, str(tmp_path / "state"))
+    s.put("plan-1", {"a": 1})
+    with pytest.raises(FileExistsError):
+        s.put("plan-1", {"a": 2})
+    for i in range(5):
+        s.write("x.json", {"i": i})
+    assert s.read("plan-1") == {"a": 1} and s.read("x.json") == {"i": 4} and s.read("none") is None
+    assert len([n for n in s.names() if n.startswith("x.json")]) == 2 and not any(n.startswith(".plan") for n in s.names())
+
+
 def test_packages(spark, tmp_path):
     root = tmp_path / "p"
     root.mkdir()
