@@ -90,6 +90,14 @@ def capture_symbols(spark: SparkSession, symbols: DataFrame, root: str) -> DataF
     return changes.sink().groupBy("id").agg(F.max(F.struct("off", "stale")).alias("r")).where("r.stale").select("id")
 
 
+def files_log(spark: SparkSession, root: str) -> ChangeLog:
+    return ChangeLog(spark, f"{root}/files", "file_key", "scan_seq")
+
+
+def sightings_log(scan: DataFrame) -> DataFrame:
+    return scan.where(F.col("file_path").isNotNull()).select("scan_seq", "file_path", "file_hash", "scanned_at", path_key(F.col("file_path")).alias("file_key"))
+
+
 def capture(spark: SparkSession, scan: DataFrame, symbols: DataFrame, root: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Runs what is left of both logs and gives the sinks: latest sightings per file, and stale symbols.
 
@@ -97,8 +105,7 @@ def capture(spark: SparkSession, scan: DataFrame, symbols: DataFrame, root: str
     yet. A batch that an earlier run left open is replayed first, then what is new is taken.
     """
     root = root or shared_folder(spark, "capture")
-    files = ChangeLog(spark, f"{root}/files", "file_key", "scan_seq")
-    log = scan.where(F.col("file_path").isNotNull()).select("scan_seq", "file_path", "file_hash", "scanned_at", path_key(F.col("file_path")).alias("file_key"))
+    files, log = files_log(spark, root), sightings_log(scan)
     for _ in range(2 if files.pending() else 1):
         files.run(log, lambda rows: latest_sightings(rows))
     return latest_sightings(files.sink()), capture_symbols(spark, symbols, f"{root}/symbols")

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
+from contextlib import suppress
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.operators import incremental
 from codequarry.operators.hierarchy import hierarchy
 from codequarry.registry import query
-from codequarry.session import table
+from codequarry.session import shared_folder, table
 
 _KEY = "regexp_replace(lower(replace({0}, '\\', '/')), '(.)/+$', '\\1')"
 
 
-@query(
-    "p4_found",
-    f"""
+_STALE = f"""
 WITH scans AS (
   SELECT scan_seq, file_hash, {_KEY.format("file_path")} AS k,
          row_number() OVER (PARTITION BY {_KEY.format("file_path")} ORDER BY scanned_at DESC NULLS LAST, scan_seq DESC) AS n
@@ -31,15 +31,42 @@ WHERE s.n = 1 AND s.file_hash IS NOT NULL AND (r.file_hash IS NULL OR lower(trim
 UNION ALL
 SELECT 'symbol', id FROM symbols
 WHERE content_hash IS NULL OR trim(content_hash) = '' OR lower(trim(content_hash)) <> md5(coalesce(content, ''))
-""",
-)
-def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    sightings, stale = incremental.capture(spark, table(spark, sf, "file_scan"), table(spark, sf, "symbols"))
+"""
+
+
+def _changed(spark: SparkSession, sf: str, sightings: DataFrame, stale: DataFrame) -> DataFrame:
     recorded = incremental.recorded_hashes(table(spark, sf, "file_hashes"), table(spark, sf, "index_runs"))
     files = incremental.changed_files(sightings, recorded).select(F.lit("file").alias("record_kind"), F.col("scan_seq").alias("record_id"))
     return files.unionAll(stale.select(F.lit("symbol").alias("record_kind"), F.col("id").alias("record_id")))
 
 
+@query("p4_found", _STALE)
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    sightings, stale = incremental.capture(spark, table(spark, sf, "file_scan"), table(spark, sf, "symbols"))
+    return _changed(spark, sf, sightings, stale)
+
+
+@query("p4_after_failure", _STALE)
+def p4_after_failure(spark: SparkSession, sf: str) -> DataFrame:
+    """The same result by three runs over one log: over what had arrived by half-time, one that dies after its plans, and one over everything.
+
+    In the first run the symbols are in another state: hashes are lost, contents are others, and rows are missing.
+    """
+    root = shared_folder(spark, "runs")
+    scan, symbols = table(spark, sf, "file_scan"), table(spark, sf, "symbols")
+    half = scan.select(F.percentile_approx(F.unix_micros("arrived_at"), 0.5).alias("t"))
+    early = scan.join(F.broadcast(half), F.unix_micros("arrived_at") <= F.col("t")).drop("t")
+    was = symbols.where("id % 13 <> 0").withColumn("content_hash", F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("content_hash"))).withColumn("content", F.when(F.col("id") % 11 == 0, F.lit("other")).otherwise(F.col("content")))
+    incremental.capture(spark, early, was, root)
+
+    def dies(rows: DataFrame) -> DataFrame:
+        raise ConnectionError("the run ends here")
+
+    with suppress(ConnectionError):
+        incremental.files_log(spark, root).run(incremental.sightings_log(scan.join(F.broadcast(half), F.unix_micros("arrived_at") <= F.col("t") + 10**9).drop("t")), dies)
+    return _changed(spark, sf, *incremental.capture(spark, scan, symbols, root))
+
+
 _TREE = f"""
 WITH RECURSIVE latest AS (
   SELECT folder_path, {_KEY.format("folder_path")} AS k, CASE WHEN trim(parent_folder_path) <> '' THEN {_KEY.format("parent_folder_path")} END AS pk,
