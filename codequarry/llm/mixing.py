@@ -61,22 +61,28 @@ def texts(docs: DataFrame, tokenizer: str = TOKENIZER) -> tuple[DataFrame, int]:
     return cut(one), total
 
 
-def rates(hist: DataFrame, plan: list[dict], total: int) -> dict[tuple, tuple[float, float, float]]:
+def rates(hist: DataFrame, plan: list[dict], total: int, outcomes: dict[tuple, str] | None = None) -> dict[tuple, tuple[float, float, float]]:
     """(a, b, mean) by (mix_id, source): the rate of a text of n tokens is min(cap, exp(a + b * n / mean)).
 
+    ``outcomes``, if given, is filled with how each source fared: ``solved``, ``cap_reached`` (all
+    its texts as often as allowed are too few), ``no_texts``, or ``unsolved`` after ITERATIONS.
+
     ``hist`` has source, n_tokens and count. A source whose cap can't reach its tokens gets its cap (a is infinite).
     The plan is a small table by nature, one row per mix and source.
     """
     spark = hist.sparkSession
     sums = {r["source"]: r for r in hist.groupBy("source").agg(F.sum("count").alias("n"), F.sum(F.col("count") * F.col("n_tokens")).alias("w")).where(F.col("source").isin([p["source"] for p in plan])).collect()}
     out, todo = {}, {}
+    fared = {} if outcomes is None else outcomes
     for p in plan:
         key, s = (p["mix_id"], p["source"]), sums.get(p["source"])
         want = p["target_share"] * p["total_factor"] * total
         if s is None or not s["w"] or want <= 0:
             out[key] = (-math.inf, 0.0, 1.0)
+            fared[key] = "no_texts" if want > 0 else "solved"
         elif want >= p["max_repeats"] * s["w"] * (1 - 1e-12):
             out[key] = (math.inf, 0.0, s["w"] / s["n"])
+            fared[key] = "cap_reached"
         else:
             mean = s["w"] / s["n"]
             # constraints in units of the mean length: tokens, and texts
@@ -106,6 +112,7 @@ def rates(hist: DataFrame, plan: list[dict], total: int) -> dict[tuple, tuple[fl
                 continue
             if abs(e1) <= CLOSE * t["want"] and abs(e0) <= CLOSE * t["n"]:
                 out[key] = (*t["x"], t["mean"])
+                fared[key] = "solved"
                 continue
             h0, h1, h2 = g["h0"] + 1e-9, g["h1"], g["h2"] + 1e-9
             det = h0 * h2 - h1 * h1
@@ -117,10 +124,16 @@ def rates(hist: DataFrame, plan: list[dict], total: int) -> dict[tuple, tuple[fl
             way = [w * min(1.0, 5.0 / big) if big else 0.0 for w in way]
             t.update(old=value, **{"from": t["x"]}, way=way, step=1.0, x=[o + d for o, d in zip(t["x"], way)])
     for key, t in todo.items():
-        out.setdefault(key, (*t["x"], t["mean"]))
+        if key not in out:
+            out[key] = (*t["x"], t["mean"])
+            fared[key] = "unsolved"
     return out
 
 
+def _goals(plan: DataFrame) -> DataFrame:
+    return plan.where(F.col("mix_id").isNotNull()).groupBy("mix_id", clean_source(F.col("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max("total_factor").alias("total_factor"))
+
+
 def mix(docs: DataFrame, plan: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(mix_id, doc_id, source, n_tokens, copies) of the texts each mix uses.
 
@@ -129,12 +142,18 @@ def mix(docs: DataFrame, plan: DataFrame, tokenizer: str = TOKENIZER) -> DataFra
     fall together. Plan rows that are repeated count once; sources without texts and shares of
     0 give no rows.
     """
+    return mix_and_outcomes(docs, plan, tokenizer)[0]
+
+
+def mix_and_outcomes(docs: DataFrame, plan: DataFrame, tokenizer: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
+    """``mix``, and (mix_id, source, outcome, wanted_tokens) of each row of the plan, as ``rates`` tells them."""
     spark = docs.sparkSession
-    goal = plan.where(F.col("mix_id").isNotNull()).groupBy("mix_id", clean_source(F.col("source")).alias("source")).agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"), F.max("total_factor").alias("total_factor"))
-    rows = [r.asDict() for r in goal.where("target_share is not null and max_repeats is not null and total_factor is not null").collect()]
+    rows = [r.asDict() for r in _goals(plan).where("target_share is not null and max_repeats is not null and total_factor is not null").collect()]
     one, total = texts(docs, tokenizer)
     hist = cut(one.groupBy("source", "n_tokens").agg(F.count("*").alias("count")))
-    got = rates(hist, rows, total)
+    outcomes: dict[tuple, str] = {}
+    got = rates(hist, rows, total, outcomes)
+    told = spark.createDataFrame([(p["mix_id"], p["source"], outcomes[p["mix_id"], p["source"]], p["target_share"] * p["total_factor"] * total) for p in rows], "mix_id int, source string, outcome string, wanted_tokens double")
     caps = {(p["mix_id"], p["source"]): float(p["max_repeats"]) for p in rows}
     table = [(k[0], k[1], caps[k], min(a, 1e6), b, m) for k, (a, b, m) in got.items() if a > -math.inf]
     duals = spark.createDataFrame(table, "mix_id int, d_source string, cap double, a double, b double, mean double")
@@ -149,13 +168,20 @@ def mix(docs: DataFrame, plan: DataFrame, tokenizer: str = TOKENIZER) -> DataFra
     used = used.withColumn("upto", F.round(upto, 9)).withColumn("before", F.coalesce(F.lag("upto").over(w), F.lit(0.0)))
     copies = (F.floor(F.col("upto") + shift) - F.floor(F.col("before") + shift)).cast("int")
     used = used.withColumn("copies", F.least(copies, F.col("cap").cast("int"))).where("copies > 0")
-    return used.select("mix_id", "doc_id", "source", "n_tokens", "copies")
+    return used.select("mix_id", "doc_id", "source", "n_tokens", "copies"), told
+
 
+def shares(mixed: DataFrame, plan: DataFrame, outcomes: DataFrame | None = None) -> DataFrame:
+    """(mix_id, source, target_share, actual_share, n_texts, n_tokens, most_copies) of every row of the plan.
 
-def shares(mixed: DataFrame, plan: DataFrame) -> DataFrame:
-    """(mix_id, source, target_share, actual_share, n_texts, n_tokens, most_copies) of every row of the plan."""
-    goal = plan.where(F.col("mix_id").isNotNull()).groupBy("mix_id", clean_source(F.col("source")).alias("source")).agg(F.max("target_share").alias("target_share"))
+    With ``outcomes`` also ``outcome`` and ``reached``, the tokens used over those wanted: where all
+    sources are solved it is 1 throughout, and a source at its cap leaves the others' shares too high.
+    """
+    goal = _goals(plan).select("mix_id", "source", "target_share")
     sums = mixed.groupBy("mix_id", "source").agg(F.count("*").alias("n_texts"), F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens"), F.max("copies").alias("most_copies"))
     whole = sums.groupBy("mix_id").agg(F.sum("n_tokens").alias("all_tokens"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return goal.join(sums, ["mix_id", "source"], "left").join(whole, "mix_id", "left").select("mix_id", "source", "target_share", F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), zero("n_texts"), zero("n_tokens"), zero("most_copies"))
+    out = goal.join(sums, ["mix_id", "source"], "left").join(whole, "mix_id", "left").select("mix_id", "source", "target_share", F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"), zero("n_texts"), zero("n_tokens"), zero("most_copies"))
+    if outcomes is None:
+        return out
+    return out.join(outcomes, ["mix_id", "source"], "left").withColumn("reached", F.col("n_tokens") / F.nullif(F.col("wanted_tokens"), F.lit(0.0))).drop("wanted_tokens")

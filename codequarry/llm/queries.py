@@ -128,7 +128,21 @@ def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
 @query("p9_shares")
 def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
     plan = table(spark, sf, "mix_plan")
-    return mixing.shares(mixing.mix(table(spark, sf, "documents"), plan), plan)
+    mixed, outcomes = mixing.mix_and_outcomes(table(spark, sf, "documents"), plan)
+    return mixing.shares(mixed, plan, outcomes)
+
+
+@query("p9_kept", "SELECT DISTINCT mix_id, coalesce(replace(replace(lower(trim(source)), '-', '_'), ' ', '_'), '') AS source, true AS caps_kept, true AS tokens_reached, true AS solved FROM mix_plan")
+def p9_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether no text is used too often, and every source has its tokens, within a hundredth and one text, or all it may give."""
+    plan = table(spark, sf, "mix_plan")
+    mixed, outcomes = mixing.mix_and_outcomes(table(spark, sf, "documents"), plan)
+    caps = plan.groupBy("mix_id", mixing.clean_source(F.col("source")).alias("source")).agg(F.max("max_repeats").alias("cap"))
+    longest = mixed.groupBy("mix_id", "source").agg(F.max("n_tokens").alias("longest"), F.min("copies").alias("fewest"))
+    told = mixing.shares(mixed, plan, outcomes).join(caps, ["mix_id", "source"]).join(longest, ["mix_id", "source"], "left")
+    slack = 0.01 + F.coalesce(F.col("longest") * F.col("reached") / F.nullif(F.col("n_tokens"), F.lit(0)), F.lit(0.0))
+    full = F.when(F.col("outcome") == "cap_reached", F.col("fewest") == F.col("cap")).when(F.col("outcome") == "no_texts", F.col("n_tokens") == 0).otherwise(F.coalesce(F.abs(F.col("reached") - 1) <= slack, F.lit(True)))
+    return told.select("mix_id", "source", (F.col("most_copies") <= F.col("cap")).alias("caps_kept"), full.alias("tokens_reached"), (F.col("outcome") != "unsolved").alias("solved"))
 
 
 @query("p5_pairs")

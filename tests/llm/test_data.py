@@ -191,7 +191,10 @@ def test_mix(spark, corpus):
     caps = {(1, "a"): 4, (1, "b_c"): 2, (1, "big"): 3, (2, "a"): 1, (3, "b_c"): 2}
     assert all(1 <= r["copies"] <= caps[r["mix_id"], r["source"]] for r in rows)
     assert not {r["doc_id"] for r in rows} & {*range(5000, 5050), 9000, 9001}  # a text counts once
-    sh = {(r["mix_id"], r["source"]): r for r in mixing.shares(mixed, plan).collect()}
+    again, outcomes = mixing.mix_and_outcomes(docs, plan)
+    sh = {(r["mix_id"], r["source"]): r for r in mixing.shares(again, plan, outcomes).collect()}
+    assert {k: r["outcome"] for k, r in sh.items()} == {(1, "a"): "solved", (1, "b_c"): "solved", (1, "big"): "solved", (2, "a"): "solved", (2, "none"): "no_texts", (3, "b_c"): "cap_reached"}
+    assert all(abs(r["reached"] - 1) < 0.02 for r in sh.values() if r["outcome"] == "solved") and sh[3, "b_c"]["reached"] < 1
     for s, want in (("a", 0.3), ("b_c", 0.2), ("big", 0.5)):
         assert abs(sh[1, s]["actual_share"] - want) < 0.02
     assert sh[2, "none"]["n_texts"] == 0 and sh[2, "none"]["actual_share"] == 0 and sh[3, "b_c"]["most_copies"] == 2
