@@ -176,6 +176,58 @@ def inheritance_line(parent: Column, interfaces: Column) -> Column:
     return F.when(both != "", F.concat(F.lit("("), both, F.lit(")"))).otherwise("")
 
 
+# Platforms and frameworks of documentation.
+PLATFORMS = ["Windows", "Android", "iOS", "macOS", "Linux"]
+DOC_FRAMEWORKS = ["none", "VCL", "FMX", "RTL", "both"]
+DOC_TYPES = ["unknown", "unit", "class", "interface", "record", "procedure", "function", "property", "method", "event", "constant", "type", "language_ref", "conceptual", "example"]
+
+
+def one_of(value: Column, names: list[str], default: str) -> Column:
+    """The name that a value spells, ignoring case, else the default; NULL too."""
+    table = F.create_map(*[F.lit(x) for n in names for x in (n.lower(), n)])
+    return F.coalesce(table[F.lower(value)], F.lit(default))
+
+
+def doc_framework_of(value: Column) -> Column:
+    return one_of(value, DOC_FRAMEWORKS, "none")
+
+
+def doc_type_of(value: Column) -> Column:
+    return one_of(value, DOC_TYPES, "unknown")
+
+
+def platform_set(csv: Column) -> Column:
+    """The known platforms of a CSV, each once, in their fixed order; others are dropped, NULL gives none."""
+    said = F.transform(F.split(F.coalesce(csv, F.lit("")), ","), lambda x: F.lower(F.trim(x)))
+    return F.filter(F.array(*map(F.lit, PLATFORMS)), lambda p: F.array_contains(said, F.lower(p)))
+
+
+def name_matches(name: Column, patterns: Column) -> Column:
+    """Whether a name holds what any of the patterns asks for, ignoring case; ``*`` is anything, and patterns needn't cover the whole name."""
+    rx = F.transform(patterns, lambda p: F.concat(F.lit("(?is)"), F.array_join(F.transform(F.split(p, r"\*"), lambda x: F.concat(F.lit(r"\Q"), x, F.lit(r"\E"))), ".*")))
+    return F.coalesce(F.exists(rx, lambda r: F.rlike(name, r)), F.lit(False))
+
+
+def service_url(url: Column, provider: Column, local_provider: str, port: int) -> Column:
+    """The URL of an embedding service; that of the local provider gets its default port where it names none."""
+    bare = F.regexp_replace(url, "/$", "")
+    add = (F.lower(provider) == local_provider) & ~url.rlike(r"://[^/]+:\d+") & (url != "")
+    return F.when(F.coalesce(add, F.lit(False)), F.concat(bare, F.lit(f":{port}"))).otherwise(url)
+
+
+def chunk_json(number: Column, name: Column, full_name: Column, kind: Column, path: Column, parent: Column, visibility: Column, start: Column, end: Column) -> Column:
+    """Metadata of a chunk as JSON; kinds that are none of the index's are 'unknown', NULL texts '' and NULL lines 0."""
+    from codequarry.schema import SYMBOL_TYPES
+
+    say = lambda c, n: F.coalesce(c, F.lit("")).alias(n)
+    return F.to_json(F.struct(F.concat(F.lit("chunk_"), number.cast("string")).alias("chunk_id"), say(name, "name"), say(full_name, "full_name"), one_of(kind, SYMBOL_TYPES, "unknown").alias("type"), say(path, "file_path"), say(parent, "parent_class"), say(visibility, "visibility"), F.coalesce(start, F.lit(0)).alias("start_line"), F.coalesce(end, F.lit(0)).alias("end_line")))
+
+
+def page_json(name: Column, short: Column, doc_type: Column, framework: Column, parent: Column, unit: Column, platforms: Column, inherited: Column, inherited_from: Column) -> Column:
+    """Metadata of a documentation page as JSON; what is empty is left out."""
+    return F.to_json(F.struct(name.alias("name"), short.alias("shortName"), doc_type_of(doc_type).alias("type"), doc_framework_of(framework).alias("framework"), nullif_blank(parent).alias("parentClass"), nullif_blank(unit).alias("unit"), F.nullif(F.array_join(platform_set(platforms), ","), F.lit("")).alias("platforms"), F.when(inherited, F.lit(True)).alias("inherited"), F.when(inherited, nullif_blank(inherited_from)).alias("inheritedFrom")))
+
+
 def register(spark: SparkSession) -> None:
     """SQL functions ``text_similarity``, ``extract_keywords``, ``distance_to_score`` and ``sanitize_query``, as temporary SQL functions."""
     kw = "array_sort(array_distinct(filter(transform(regexp_extract_all({0}, r'(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]*)', 1), w -> lower(w)), w -> length(w) > 2)))"

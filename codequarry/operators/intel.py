@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import count
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry.functions.paths import path_key
@@ -209,3 +209,34 @@ def orphan_mappings(detected: DataFrame, overrides: DataFrame) -> DataFrame:
     # the list is written for people to check, one file for all of it
     numbered = todo.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("file")))
     return numbered.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("n")).cast("int").alias("ordinal"), "file", F.lit(None).cast("string").alias("pattern"), "framework", "reason")
+
+
+def in_overrides(files: DataFrame, overrides: DataFrame) -> DataFrame:
+    """(file_path, is_mapped) of files: whether an override names them, by path or by glob."""
+    hit = mapped(files, overrides).select(F.col("file_path").alias("_f"))
+    return files.select("file_path").distinct().join(hit, F.col("file_path") == F.col("_f"), "left").select("file_path", F.col("_f").isNotNull().alias("is_mapped"))
+
+
+def add_override(overrides: DataFrame, framework: str, reason: str, file: str | None = None, pattern: str | None = None) -> DataFrame:
+    """The overrides with one more at the end, for a path or for a glob."""
+    if (file is None) == (pattern is None):
+        raise ValueError("an override has a file or a pattern")
+    last = overrides.agg((F.coalesce(F.max("ordinal"), F.lit(-1)) + 1).cast("int").alias("ordinal"))
+    text = lambda v: F.lit(v).cast("string")
+    return overrides.unionByName(last.select("ordinal", text(file).alias("file"), text(pattern).alias("pattern"), text(framework).alias("framework"), text(reason).alias("reason")), allowMissingColumns=True)
+
+
+def load_glossary(spark: SparkSession, path: str) -> DataFrame:
+    """(term, english, tags) of a JSON glossary: a list of {term, english: [], domain_tags: []}; terms that repeat are merged."""
+    raw = spark.read.option("multiLine", True).schema("term string, english array<string>, domain_tags array<string>").json(path)
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce(c, F.array().cast("array<string>"))))))
+    return raw.where(F.trim("term") != "").groupBy(F.trim("term").alias("term")).agg(every("english").alias("english"), every("domain_tags").alias("tags"))
+
+
+def expand_abbreviations(text: Column, table: DataFrame | dict[str, str]) -> Column:
+    """Words of a text that are abbreviations, ignoring case, in full; the table is a hand-written list."""
+    pairs = table if isinstance(table, dict) else {r["short"]: r["long"] for r in table.select("short", "long").collect()}
+    out = text
+    for short, full in sorted(pairs.items()):
+        out = F.regexp_replace(out, rf"(?i)(?<![A-Za-z0-9_])\Q{short}\E(?![A-Za-z0-9_])", full)
+    return out

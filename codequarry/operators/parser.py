@@ -533,6 +533,17 @@ def parse_units(files: DataFrame, path_col: str = "path", text_col: str = "text"
     return src.mapInArrow(run, SCHEMA)
 
 
+def parse_report(parsed: DataFrame, shown: int = 10) -> DataFrame:
+    """(parse_status, files, first_files): files of each status, and the first ones by path."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    one = parsed.select("file_path", "parse_status").distinct().withColumn("n", F.row_number().over(Window.partitionBy("parse_status").orderBy("file_path")))
+    counts = parsed.select("file_path", "parse_status").distinct().groupBy("parse_status").agg(F.count("*").alias("files"))
+    first = one.where(F.col("n") <= shown).groupBy("parse_status").agg(F.array_sort(F.collect_list("file_path")).alias("first_files"))
+    return counts.join(first, "parse_status", "left")
+
+
 def package_clauses(text: str) -> tuple[list[str], list[tuple[str, str | None]], str | None]:
     """(requires, contains with paths, framework tag) of a package source."""
     tag = re.search(r"//\s*FRAMEWORK:\s*(VCL|FMX|RTL)\b", "\n".join(text.splitlines()[:10]), re.I)

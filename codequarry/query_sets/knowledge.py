@@ -148,6 +148,22 @@ def package_frameworks(spark, sf):
     return i.package_frameworks(r, spark.createDataFrame([("tagged", "RTL")], "package string, tag string"))
 
 
+@query("unit_frameworks")
+def unit_frameworks(spark, sf):
+    """Frameworks of all units as if each were a package that requires the units it uses, in their order."""
+    u = table(spark, sf, "symbols").where("type = 'unit' and content is not null and name is not null").groupBy(F.lower("name").alias("package")).agg(F.max(F.struct(F.length("content"), "content")).alias("u"))
+    r = u.select("package", F.posexplode_outer(i.uses_units(F.col("u.content"))).alias("ordinal", "requires")).withColumn("ordinal", F.coalesce("ordinal", F.lit(0)))
+    return i.package_frameworks(r)
+
+
+@query(
+    "mapped_files",
+    f"WITH {_MAPPED} SELECT file_path, coalesce(bool_or(mp.framework IS NOT NULL), false) AS is_mapped FROM fl LEFT JOIN mp USING (file_path) GROUP BY 1",
+)
+def mapped_files(spark, sf):
+    return i.in_overrides(table(spark, sf, "symbols").where("file_path is not null"), overrides(spark))
+
+
 # ---------------------------------------------------------------- glossary
 
 #: A dozen invented rows; the real glossary is a table that users bring.
@@ -158,11 +174,11 @@ _HIT = f"{_GL}, hit AS (SELECT doc_id, term, tags FROM documents JOIN gl ON rege
 
 @query(
     "glossary_tags",
-    f"WITH {_HIT}, f AS (SELECT doc_id, term, unnest(tags) AS tag FROM hit) SELECT d.doc_id, coalesce(array_to_string(list_sort(list_distinct(list(f.tag) FILTER (f.tag IS NOT NULL))), ','), '') AS domain_tags, count(DISTINCT f.term) AS n_terms FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY 1",
+    f"WITH {_HIT}, f AS (SELECT doc_id, term, unnest(tags) AS tag FROM hit) SELECT d.doc_id, coalesce(CAST(to_json(list_sort(list_distinct(list(f.term) FILTER (f.term IS NOT NULL)))) AS VARCHAR), '[]') AS spanish_terms, coalesce(array_to_string(list_sort(list_distinct(list(f.tag) FILTER (f.tag IS NOT NULL))), ','), '') AS domain_tags, count(DISTINCT f.term) AS n_terms FROM documents d LEFT JOIN f ON d.doc_id = f.doc_id GROUP BY 1",
 )
 def glossary_tags(spark, sf):
     g = spark.createDataFrame(GLOSSARY, "term string, english array<string>, tags array<string>")
-    return i.enrich(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", g).select("doc_id", "domain_tags", "n_terms")
+    return i.enrich(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text", g)
 
 
 @query("abbreviations", "SELECT id, CASE lower(type) WHEN 'proc' THEN 'procedure' WHEN 'func' THEN 'function' ELSE type END AS long FROM (SELECT id, CASE type WHEN 'procedure' THEN 'proc' WHEN 'function' THEN 'func' ELSE type END AS type FROM symbols)")

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codequarry.operators import fts, search, vectors
+from codequarry.functions import text
+from codequarry.operators import analytics, fts, search, vectors
 from codequarry.query_sets.scalar import KW, SIM
-from codequarry.registry import query
+from codequarry.registry import SQL, query
 from codequarry.session import shared_folder, table
 
 _TEXTS = "SELECT query_id, text FROM (SELECT id AS query_id, CASE WHEN id % 100 = 50 AND len(w) >= 2 THEN array_to_string(w[1:3], ' ') ELSE name END AS text FROM (SELECT id, name, regexp_extract_all(coalesce(comments, ''), '([A-Za-z]+)', 1) AS w FROM symbols WHERE id % 50 = 0)) WHERE text IS NOT NULL"
@@ -326,3 +327,49 @@ def fts_bm25(spark, sf):
 @query("fts_match", _BM25.format("terms = wanted"))
 def fts_match(spark, sf):
     return _bm25(spark, sf, True)
+
+
+# ---------------------------------------------------------------- quality and lookups by kind
+
+@query(
+    "retrieval_quality",
+    f"""
+WITH f AS (SELECT query_id, symbol_id, pos FROM ({SQL['fuzzy_name']})),
+r AS (SELECT f.*, coalesce(len(list_filter([substr(lower(q.name), 1, 3), right(lower(q.name), 3)], lambda p: contains(lower(s.name), p))) > 0, false) AS relevant FROM f JOIN symbols q ON q.id = f.query_id JOIN symbols s ON s.id = f.symbol_id),
+p AS (SELECT query_id, sum(relevant::INT) AS rel, count(*) AS n, min(CASE WHEN relevant THEN pos END) AS first FROM r GROUP BY 1)
+SELECT 'fuzzy' AS mode, count(*) AS queries, round(sum(rel)::DOUBLE / sum(n), 6) AS precision, round(avg((rel > 0)::INT::DOUBLE), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM p
+""",
+)
+def retrieval_quality(spark, sf):
+    """Precision, hit rate and rank of fuzzy lookups, by patterns of the first and last letters of the name looked up."""
+    s = table(spark, sf, "symbols")
+    got = search.fuzzy(part_queries(spark, sf), s, 10).select("query_id", "symbol_id", "pos")
+    asked = s.select(F.col("id").alias("query_id"), F.col("name").alias("asked"))
+    names = s.select(F.col("id").alias("symbol_id"), "name")
+    patterns = F.array(F.concat(F.lit("*"), F.substring("asked", 1, 3), F.lit("*")), F.concat(F.lit("*"), F.right("asked", F.lit(3)), F.lit("*")))
+    told = got.join(asked, "query_id").join(names, "symbol_id").select(F.lit("fuzzy").alias("mode"), "query_id", "pos", text.name_matches(F.col("name"), patterns).alias("relevant"))
+    return analytics.ir_metrics(told, 10)
+
+
+@query("chunks_by_type", "SELECT id, name FROM symbols WHERE lower(type) = 'function'")
+def chunks_by_type(spark, sf):
+    return search.chunks_by_type(table(spark, sf, "symbols"), "Function").select("id", "name")
+
+
+@query("embeddings_of", "SELECT chunk_id, len(embedding) AS n FROM vec_embeddings WHERE vec_id % 50 = 0")
+def embeddings_of(spark, sf):
+    v = table(spark, sf, "vec_embeddings")
+    return search.embeddings_of(v, v.where("vec_id % 50 = 0").select("chunk_id")).select("chunk_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("long").alias("n"))
+
+
+@query("platform_sets", "SELECT id, array_to_string(list_filter(['Windows', 'Android', 'iOS', 'macOS', 'Linux'], lambda p: list_contains(list_transform(string_split(coalesce(platforms, ''), ','), lambda x: lower(trim(x))), lower(p))), ',') AS platforms FROM symbols")
+def platform_sets(spark, sf):
+    return table(spark, sf, "symbols").select("id", F.array_join(text.platform_set(F.col("platforms")), ",").alias("platforms"))
+
+
+@query("chunk_json", "SELECT id, 'chunk_' || id AS chunk_id, coalesce(name, '') AS name, CASE WHEN lower(type) IN ('class', 'interface', 'record', 'procedure', 'function', 'constructor', 'destructor', 'property', 'type', 'const', 'var') THEN lower(type) ELSE 'unknown' END AS type, CAST(coalesce(start_line, 0) AS BIGINT) AS start_line FROM symbols")
+def chunk_json(spark, sf):
+    """Chunks' metadata as JSON, read back."""
+    c = F.col
+    j = table(spark, sf, "symbols").select("id", text.chunk_json(c("id"), c("name"), c("full_name"), c("type"), c("file_path"), c("parent_class"), c("visibility"), c("start_line"), c("end_line")).alias("j"))
+    return j.select("id", F.from_json("j", "chunk_id string, name string, type string, start_line long").alias("o")).select("id", "o.*")

@@ -52,3 +52,34 @@ def test_sql_functions(spark):
     text.register(spark)
     r = spark.sql("SELECT text_similarity('foo bar', 'the foo bar') AS s, extract_keywords('Foo bar x') AS k, distance_to_score(0.5D) AS d, sanitize_query(' a;  b ') AS q").first()
     assert r["s"] == 1.0 and r["k"] == ["bar", "foo"] and r["d"] == 0.75 and r["q"] == "a b"
+
+
+def test_enums_urls_and_json(spark):
+    from codequarry.functions import text
+    from codequarry.operators import intel, parser, search
+
+    c = F.col
+    rows = [("VCL", "linux, WINDOWS,x,,linux", "http://h/", "Local", "getName"), (None, None, None, None, None), ("zz", "", "http://h:80", "local", "a.b"), ("BOTH", "ios", "https://h", "other", "")]
+    d = spark.createDataFrame(rows, "fw string, p string, url string, prov string, name string")
+    got = d.select(text.doc_framework_of(c("fw")), text.platform_set(c("p")), text.service_url(c("url"), c("prov"), "local", 11434), text.name_matches(c("name"), F.array(F.lit("GET*me"), F.lit("*.b")))).collect()
+    assert [tuple(r) for r in got] == [("VCL", ["Windows", "Linux"], "http://h:11434", True), ("none", [], None, False), ("none", [], "http://h:80", True), ("both", ["iOS"], "https://h", False)]
+    j = spark.range(1).select(text.page_json(F.lit("A.B"), F.lit("B"), F.lit("Class"), F.lit(None), F.lit(""), F.lit("A"), F.lit("linux"), F.lit(True), F.lit("Q"))).first()[0]
+    assert j == '{"name":"A.B","shortName":"B","type":"class","framework":"none","unit":"A","platforms":"Linux","inherited":true,"inheritedFrom":"Q"}'
+    o = spark.createDataFrame([(0, "C:/a.pas", None, "VCL", "r"), (4, None, "**/n*.pas", "FMX", "r")], "ordinal int, file string, pattern string, framework string, reason string")
+    f = spark.createDataFrame([("c:\\A.PAS",), ("x/y/n1.pas",), ("z.pas",)], "file_path string")
+    assert {r[0]: r[1] for r in intel.in_overrides(f, o).collect()} == {"c:\\A.PAS": True, "x/y/n1.pas": True, "z.pas": False}
+    more = intel.add_override(o, "RTL", "why", pattern="*.pas")
+    assert more.where("ordinal = 5").first()["pattern"] == "*.pas"
+    assert spark.range(1).select(intel.expand_abbreviations(F.lit("a Proc and process"), {"proc": "procedure"})).first()[0] == "a procedure and process"
+    s = spark.createDataFrame([(2, "Foo", "T.Foo", "Class"), (1, "x", "FOO", "var")], "id long, name string, full_name string, type string")
+    assert [r["id"] for r in search.chunks_by_name(s, "foo").collect()] == [1, 2] and search.chunks_by_type(s, "CLASS").count() == 1
+    p = parser.parse_units(spark.createDataFrame([(f"f{i}", "") for i in range(12)] + [("ok", "unit A; interface const c = 1; implementation end.")], "path string, text string"))
+    report = {r["parse_status"]: (r["files"], len(r["first_files"])) for r in parser.parse_report(p).collect()}
+    assert report["failed"] == (12, 10) and report["parsed"] == (1, 1)
+
+
+def test_glossary_file(spark, tmp_path):
+    from codequarry.operators import intel
+
+    (tmp_path / "g.json").write_text('[{"term": "pedido", "english": ["order"], "domain_tags": ["sales"]}, {"term": " pedido", "domain_tags": ["b"]}, {"term": ""}, {"english": ["x"]}]')
+    assert [tuple(r) for r in intel.load_glossary(spark, str(tmp_path / "g.json")).collect()] == [("pedido", ["order"], ["b", "sales"])]
