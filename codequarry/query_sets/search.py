@@ -142,6 +142,16 @@ def approx_knn(spark, sf):
     return vectors.InvertedFile.fit(v, 32).search(q, v, 10, 12)
 
 
+@query("approx_recall", f"SELECT count(*) AS n_queries, true AS reached FROM vec_embeddings WHERE vec_id % 50 = 0 AND {_USABLE}")
+def approx_recall(spark, sf):
+    """Whether ``approx_knn`` holds nine in ten of the neighbours of the exact search."""
+    q, v = _vecs(spark, sf)
+    true = vectors.knn(q, v, 10).select("query_id", "symbol_id")
+    got = vectors.InvertedFile.fit(v, 32).search(q, v, 10, 12).select("query_id", "symbol_id", F.lit(1).alias("hit"))
+    both = true.join(got, ["query_id", "symbol_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("n_queries"), (F.sum(F.coalesce("hit", F.lit(0))) >= 0.9 * F.count("*")).alias("reached"))
+
+
 @query(
     "knn_symbols",
     f"""
