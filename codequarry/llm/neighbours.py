@@ -33,7 +33,7 @@ SEED = 20240229
 #: Stored vectors of one block; also rows of one comparison.
 BUCKET = 4096
 #: Share of the true pairs that should be found, unless another is asked for.
-RECALL = 0.95
+RECALL = 0.98
 #: Most hashes of a table, tables, and probes that are considered.
 MOST_HASHES, MOST_TABLES, MOST_PROBES = 3, 24, 16
 #: Vectors on which the settings are fitted, and vectors from which sizes of buckets are estimated (bounded samples; every row is indexed).

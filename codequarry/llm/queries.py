@@ -63,6 +63,23 @@ def p6_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_oversized(table(spark, sf, "symbols"))
 
 
+@query("p6_whole", "SELECT id, md5(content) AS h, true AS within FROM symbols WHERE length(content) > 4000")
+def p6_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """The pieces of each row put together again, and whether all keep to the limit, the overlap and growing line ranges."""
+    p = splitting.split_oversized(table(spark, sf, "symbols"))
+    fits = (F.length("content") <= splitting.LIMIT) & (F.col("overlap") <= splitting.OVERLAP) & (F.col("start_line") <= F.col("end_line"))
+    row = F.struct("piece", F.expr("substring(content, overlap + 1)").alias("t"))
+    whole = p.groupBy("id").agg(F.array_sort(F.collect_list(row)).alias("r"), F.min(fits).alias("within"))  # one row's own pieces
+    return whole.select("id", F.md5(F.array_join(F.col("r.t"), "").cast("binary")).alias("h"), "within")
+
+
+@query("p3_plain", r"SELECT id, md5(content) AS h FROM symbols WHERE NOT coalesce(regexp_matches(lower(file_path), '\.(pas|inc|js)$'), false) AND regexp_full_match(content, '[A-Za-z ,.;:()\r\n]*')")
+def p3_plain(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that hold none of the signs of any markup, which must come out as they are."""
+    s = table(spark, sf, "symbols").where(F.col("content").rlike(r"^[A-Za-z ,.;:()\r\n]*\z")).select(F.col("id").alias("s_id"))
+    return markup.clean(table(spark, sf, "symbols")).where("n_pieces = 0").join(s, F.col("id") == F.col("s_id"), "left_semi").select("id", F.md5(F.col("text").cast("binary")).alias("h"))
+
+
 @query("p3_found")
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return markup.clean(table(spark, sf, "symbols")).where("n_pieces > 0").select("id")
@@ -175,6 +192,15 @@ def p10_cutoffs(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.flag_repetitive(shares).select("doc_id", "share", "cutoff", "repetitive")
 
 
+@query("p8_verbatim", "SELECT doc_id, item_id FROM documents d JOIN eval_items i ON contains(d.text, i.text) WHERE len(regexp_extract_all(i.text, '[A-Za-z]+')) >= 40")
+def p8_verbatim(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the leaks found, those of items that stand in the text letter by letter."""
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "eval_items")
+    found = contamination.contamination(docs, items).select("doc_id", "item_id").distinct()
+    long = items.where(F.size(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))) >= 40).select("item_id", F.col("text").alias("item"))
+    return found.join(long, "item_id").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", "item")).select("doc_id", "item_id")
+
+
 @query("p8_clean")
 def p8_clean(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.remove_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
