@@ -206,8 +206,12 @@ def orphan_mappings(detected: DataFrame, overrides: DataFrame) -> DataFrame:
     """
     last = overrides.agg(F.coalesce(F.max("ordinal"), F.lit(-1)).alias("last"))
     todo = detected.where(F.col("tier").isin("uses", "folder")).select(F.translate("file_path", "\\", "/").alias("file"), "framework", F.concat(F.lit("detected from "), "tier").alias("reason"))
-    # the list is written for people to check, one file for all of it
-    numbered = todo.withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("file")))
+    # numbered within sorted partitions, to which the counts of those before are added
+    parts = cut(todo.repartitionByRange("file").withColumn("part", F.spark_partition_id()))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy("part").agg(F.count("*").alias("k")).select(F.col("part").alias("s_part"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("start"))  # one row a partition
+    inner = F.row_number().over(Window.partitionBy("part").orderBy("file"))
+    numbered = parts.join(F.broadcast(starts), F.col("part") == F.col("s_part")).withColumn("n", F.col("start") + inner)
     return numbered.crossJoin(F.broadcast(last)).select((F.col("last") + F.col("n")).cast("int").alias("ordinal"), "file", F.lit(None).cast("string").alias("pattern"), "framework", "reason")
 
 

@@ -69,7 +69,10 @@ def longest_prefix(files: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def merkle(files: DataFrame) -> DataFrame:
-    """(folder, hash) bottom-up from (path, hash) with normalised paths: MD5 over the sorted lines of a folder's files and folders.
+    """(folder, hash) bottom-up from (path, hash) with normalised paths: MD5 over all lines of a folder's files and folders.
+
+    Lines fall into 4,096 slots by their own MD5; a slot's digest covers its sorted lines, and the
+    folder's hash its sorted slots, so that a folder with very many files is no single task's list.
 
     A folder's hash covers everything below it and doesn't depend on the order of listing.
     One level a round, from the deepest; the rounds are as many as the deepest path has folders.
@@ -87,7 +90,9 @@ def merkle(files: DataFrame) -> DataFrame:
         if above is not None:
             here = here.unionByName(above)
         line = F.concat_ws(":", "kind", name, F.coalesce("hash", F.lit("")))
-        folder = here.groupBy(parent.alias("path")).agg(F.md5(F.array_join(F.array_sort(F.collect_list(line)), "\n").cast("binary")).alias("hash"))
+        digest = lambda c: F.md5(F.array_join(F.array_sort(F.collect_list(c)), "\n").cast("binary"))
+        slots = here.select(parent.alias("path"), line.alias("line")).groupBy("path", F.substring(F.md5(F.col("line").cast("binary")), 1, 3).alias("slot")).agg(digest("line").alias("d"))
+        folder = slots.groupBy("path").agg(digest(F.concat("slot", F.lit(":"), "d")).alias("hash"))
         above = cut(folder.select("path", "hash", F.lit("D").alias("kind"), F.lit(d - 1).alias("depth")))
         done = above if done is None else done.unionByName(above)
     if done is None:

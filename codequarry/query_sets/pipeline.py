@@ -20,6 +20,28 @@ def parse_units(spark, sf):
     return parser.parse_units(s.select(F.col("id").cast("string").alias("path"), F.col("content").alias("text"))).select("file_path", "parse_status", "full_name", "type", "visibility", "is_declaration", "start_line", "end_line")
 
 
+_OPENS = r"(?i)^(procedure|function|constructor|destructor)\s+(\w+(?:\.\w+)*)\s*[(;:]"
+_UNIT = r"(?i)^\s*unit\s+([\w.]+)\s*;"
+
+
+@query(
+    "parsed_heads",
+    f"""
+WITH s AS (SELECT id, content FROM symbols WHERE lower(file_path) LIKE '%.pas' AND content IS NOT NULL)
+SELECT id, regexp_extract(content, '{_OPENS}', 2) AS name, lower(regexp_extract(content, '{_OPENS}', 1)) AS kind FROM s WHERE regexp_matches(content, '{_OPENS}')
+UNION ALL SELECT id, regexp_extract(content, '{_UNIT}', 1), 'unit' FROM s WHERE regexp_matches(content, '{_UNIT}')
+""",
+)
+def parsed_heads(spark, sf):
+    """What the parser takes texts for that open with a routine or a unit: the outermost first declaration, or the unit."""
+    s = table(spark, sf, "symbols").where("lower(file_path) like '%.pas' and content is not null")
+    rows = parser.parse_units(s.select(F.col("id").cast("string").alias("path"), F.col("content").alias("text")))
+    first = rows.groupBy(F.col("file_path").cast("long").alias("p_id")).agg(F.max("unit").alias("unit"), F.min(F.struct("start_line", (-F.col("end_line")).alias("e"), "full_name", "type")).alias("r"))
+    got = s.join(first, F.col("id") == F.col("p_id"))
+    routines = got.where(F.col("content").rlike(_OPENS)).select("id", F.col("r.full_name").alias("name"), F.col("r.type").alias("kind"))
+    return routines.unionByName(got.where(F.col("content").rlike(_UNIT)).select("id", F.col("unit").alias("name"), F.lit("unit").alias("kind")))
+
+
 @query("method_signatures")
 def method_signatures(spark, sf):
     """The heading of every routine, long ones too; SQL can't scan past strings and comments, so it has none."""

@@ -207,13 +207,17 @@ def longest_prefix(spark, sf):
     return m.longest_prefix(table(spark, sf, "symbols"), table(spark, sf, "indexed_folders"))
 
 
+def _folder_hash(keys: str, lines: str) -> str:
+    slots = f"SELECT {keys}, substr(md5(line), 1, 3) AS slot, md5(string_agg(line, chr(10) ORDER BY line)) AS d FROM ({lines}) GROUP BY ALL"
+    return f"SELECT {keys}, md5(string_agg(slot || ':' || d, chr(10) ORDER BY slot || ':' || d)) AS h FROM ({slots}) GROUP BY ALL"
+
+
 @query(
     "merkle_hash",
-    """
-WITH n AS (SELECT n_regionkey, n_name, md5(string_agg('F:' || c_custkey || ':' || md5(c_name), chr(10) ORDER BY 'F:' || c_custkey || ':' || md5(c_name))) AS h, n_nationkey FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
-r AS (SELECT r_name, md5(string_agg('D:' || n_name || ':' || h, chr(10) ORDER BY 'D:' || n_name || ':' || h)) AS h FROM n JOIN region ON n_regionkey = r_regionkey GROUP BY 1)
-SELECT 'all/' || r_name || '/' || n_name AS folder, n.h AS hash FROM n JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT 'all/' || r_name, h FROM r
-UNION ALL SELECT 'all', md5(string_agg('D:' || r_name || ':' || h, chr(10) ORDER BY 'D:' || r_name || ':' || h)) FROM r
+    f"""
+WITH f AS (SELECT r_name, n_name, 'F:' || c_custkey || ':' || md5(c_name) AS line FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+n AS ({_folder_hash("r_name, n_name", "SELECT * FROM f")}), r AS ({_folder_hash("r_name", "SELECT r_name, 'D:' || n_name || ':' || h AS line FROM n")}), t AS ({_folder_hash("top", "SELECT 'all' AS top, 'D:' || r_name || ':' || h AS line FROM r")})
+SELECT 'all/' || r_name || '/' || n_name AS folder, h AS hash FROM n UNION ALL SELECT 'all/' || r_name, h FROM r UNION ALL SELECT top, h FROM t
 """,
 )
 def merkle_hash(spark, sf):
