@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,14 +86,82 @@ def detect(units: DataFrame, overrides: DataFrame, package_of: DataFrame) -> Dat
     return t.select("file_path", F.coalesce("t1", t2, t3, "t4", "t5", F.lit("")).alias("framework"), tier.alias("tier"), warning.alias("warning"))
 
 
+#: Most edges of a graph that every task gets whole; larger graphs are joined round by round.
+MOST_EDGES = 1_000_000
+#: Targets that a task looks for at once.
+BLOCK_TARGETS = 1024
+
+
+def _graph(edges: DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Names, and numbers of the ends of each edge."""
+    t = edges.toArrow()  # at most MOST_EDGES
+    src, dst = (t.column(c).combine_chunks() for c in ("src", "dst"))
+    both = pa.chunked_array([src, dst]).combine_chunks().dictionary_encode()
+    ends = both.indices.to_numpy()
+    return both.dictionary, ends[: len(src)], ends[len(src) :]
+
+
+def _grouped(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the values of each key from 0 to n - 1 start, and the values by key."""
+    return np.concatenate(([0], np.cumsum(np.bincount(keys, minlength=n)))), values[np.argsort(keys, kind="stable")]
+
+
+def _components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The number of each node's strongly connected component; edges between components lead to lower numbers."""
+    starts, to = (x.tolist() for x in _grouped(src, dst, n))
+    seen, low, own = [-1] * n, [0] * n, [-1] * n
+    at, stack, met, done = starts[:n], [], 0, 0
+    for root in range(n):
+        if seen[root] >= 0:
+            continue
+        path = [root]
+        while path:
+            x = path[-1]
+            if seen[x] < 0:
+                seen[x] = low[x] = met
+                met += 1
+                stack.append(x)
+            deeper = False
+            while at[x] < starts[x + 1]:
+                y = to[at[x]]
+                at[x] += 1
+                if seen[y] < 0:
+                    path.append(y)
+                    deeper = True
+                    break
+                if own[y] < 0:
+                    low[x] = min(low[x], seen[y])
+            if deeper:
+                continue
+            path.pop()
+            if low[x] == seen[x]:
+                while own[x] < 0:
+                    own[stack.pop()] = done
+                done += 1
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[x])
+    return np.array(own, dtype=np.int64)
+
+
+def _circular(own: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Of each component whether its nodes reach themselves."""
+    out = np.bincount(own) > 1
+    out[own[src[src == dst]]] = True
+    return out
+
+
 def reach(edges: DataFrame) -> DataFrame:
     """(src, dst) of everything reachable over one or more edges (src, dst); cycles end by themselves.
 
-    Path doubling: as many rounds as the logarithm of the longest path. The closure of a package
-    graph is what is wanted, so its size is that of the result.
+    The components of a graph of at most MOST_EDGES edges go to every task, which finds by sets of
+    bits who reaches a block of its nodes, in time of the edges; nothing is shuffled. A larger graph
+    takes path doubling: as many rounds as the logarithm of the longest path. The closure of a
+    package graph is what is wanted, so its size is that of the result.
     """
     pairs = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     n = pairs.count()
+    if 0 < n <= MOST_EDGES:
+        return _reach_by_bits(pairs)
     while n:
         more = pairs.alias("a").join(pairs.alias("b"), F.col("a.dst") == F.col("b.src")).select(F.col("a.src"), F.col("b.dst"))
         pairs = cut(pairs.unionByName(more).distinct())
@@ -101,6 +172,59 @@ def reach(edges: DataFrame) -> DataFrame:
     return pairs
 
 
+def _reach_by_bits(edges: DataFrame) -> DataFrame:
+    spark = edges.sparkSession
+    names, src, dst = _graph(edges)
+    own = _components(len(names), src, dst)
+    n = int(own.max()) + 1
+    between = np.unique(np.stack([own[src], own[dst]])[:, own[src] != own[dst]], axis=1)
+    members, succ = _grouped(own, np.arange(len(own)), n), _grouped(between[0], between[1], n)
+    targets = np.unique(dst)
+    targets = targets[np.argsort(own[targets], kind="stable")]  # what reaches a block has no lower number than its first
+    shared = spark.sparkContext.broadcast((names, own, members, succ, targets, _circular(own, src, dst)))
+    width = BLOCK_TARGETS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, own, (m_at, m), (s_at, s), targets, circular = shared.value
+        for block in (x for b in batches for x in b.column("id").to_pylist()):
+            wanted = targets[block * width : (block + 1) * width]
+            low = own[wanted[0]]
+            has = np.zeros((n - low, width // 8), dtype=np.uint8)  # of each component the targets in it
+            col = np.arange(len(wanted))
+            np.bitwise_or.at(has, (own[wanted] - low, col // 8), (128 >> (col % 8)).astype(np.uint8))
+            got = np.zeros_like(has)
+            starts, to = s_at[low:].tolist(), s - low
+            for c in range(n - low):
+                nxt = to[starts[c] : starts[c + 1]]
+                nxt = nxt[nxt >= 0]
+                if len(nxt):
+                    got[c] = np.bitwise_or.reduce(got[nxt] | has[nxt], axis=0)
+                if circular[c + low]:
+                    got[c] |= has[c]
+            for lo in range(0, n - low, 512):
+                c, t = np.nonzero(np.unpackbits(got[lo : lo + 512], axis=1)[:, : len(wanted)])
+                first = m_at[c + lo + low]
+                size = m_at[c + lo + low + 1] - first
+                for a in range(0, len(c), 50_000):  # a component may have many members
+                    f, k, w = first[a : a + 50_000], size[a : a + 50_000], wanted[t[a : a + 50_000]]
+                    for step in range(int(k.max())):
+                        here = k > step
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(m[f[here] + step])), names.take(pa.array(w[here]))], ["src", "dst"])
+
+    blocks = -(-len(targets) // width)
+    return spark.range(0, blocks, 1, blocks).mapInArrow(run, "src string, dst string")
+
+
+def circles(edges: DataFrame) -> DataFrame:
+    """(src) of the nodes that reach themselves."""
+    pairs = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+    if not 0 < pairs.count() <= MOST_EDGES:
+        return reach(pairs).where("src = dst").select("src")
+    names, src, dst = _graph(pairs)
+    own = _components(len(names), src, dst)
+    return pairs.sparkSession.createDataFrame([(x,) for x in names.filter(pa.array(_circular(own, src, dst)[own])).to_pylist()], "src string")
+
+
 def package_frameworks(requires: DataFrame, tags: DataFrame | None = None) -> DataFrame:
     """(package, framework, method) from (package, ordinal, requires), lower-cased names.
 

@@ -122,21 +122,20 @@ def framework_coalesce(spark, sf):
 _EDGES = f"e AS (SELECT DISTINCT lower(name) AS src, unnest({_USES}) AS dst FROM symbols WHERE type = 'unit' AND content IS NOT NULL AND name IS NOT NULL)"
 
 
-def _closure(spark, sf):
-    s = table(spark, sf, "symbols").where("type = 'unit' and content is not null and name is not null")
-    return i.reach(i.dependency_pairs(s))
+def _edges(spark, sf):
+    return i.dependency_pairs(table(spark, sf, "symbols").where("type = 'unit' and content is not null and name is not null"))
 
 
 @query("unit_closure", f"WITH RECURSIVE {_EDGES}, r AS (SELECT src AS root, dst FROM e UNION SELECT r.root, e.dst FROM r JOIN e ON r.dst = e.src) SELECT root, dst AS unit FROM r WHERE root <> dst")
 def unit_closure(spark, sf):
     """All units that each unit needs."""
-    return _closure(spark, sf).where("src <> dst").select(F.col("src").alias("root"), F.col("dst").alias("unit"))
+    return i.reach(_edges(spark, sf)).where("src <> dst").select(F.col("src").alias("root"), F.col("dst").alias("unit"))
 
 
 @query("unit_circles", f"WITH RECURSIVE {_EDGES}, r AS (SELECT src AS root, dst FROM e UNION SELECT r.root, e.dst FROM r JOIN e ON r.dst = e.src) SELECT root AS unit FROM r WHERE root = dst")
 def unit_circles(spark, sf):
     """Units that need themselves in the end."""
-    return _closure(spark, sf).where("src = dst").select(F.col("src").alias("unit"))
+    return i.circles(_edges(spark, sf)).select(F.col("src").alias("unit"))
 
 
 PACKAGES = [("app", 0, "vcl"), ("app", 1, "core"), ("core", 0, "rtl"), ("core", 1, "dbrtl"), ("ui", 0, "core"), ("ui", 1, "fmxbase"), ("mixed", 0, "ui"), ("mixed", 1, "app"), ("odd", 0, "unknownlib"), ("tagged", 0, "unknownlib"), ("tagged", 1, "rtl"), ("a", 0, "b"), ("b", 0, "a"), ("c", 0, "a"), ("c", 1, "app"), ("none", 0, "")]
