@@ -278,7 +278,8 @@ def glossary_terms(texts: DataFrame, key: str, text: str, glossary: DataFrame) -
     """(key, term, english, tags) for glossary terms that open a word of a text, ignoring case.
 
     Words and all their prefixes of a term's possible lengths are joined by equality; terms of
-    several words are compared word by word through their first one.
+    several words are compared word by word through their first one. The glossary, a hand-written
+    list, is broadcast, so that texts and their words stay where they are.
     """
     g = glossary.select(F.lower("term").alias("g_term"), "term", "english", "tags").withColumn("g_first", F.element_at(F.split("g_term", " "), 1)).withColumn("one", ~F.contains("g_term", F.lit(" ")))
     lengths = [r["n"] for r in g.select(F.length("g_first").alias("n")).distinct().collect()]  # lengths of words, a few dozen at most
@@ -286,7 +287,7 @@ def glossary_terms(texts: DataFrame, key: str, text: str, glossary: DataFrame) -
     w = texts.select(key, F.col(text).alias("_t"), F.explode(words).alias("word"))
     cutting = F.array_distinct(F.filter(F.transform(F.array(*map(F.lit, sorted(lengths))), lambda n: F.when(F.length("word") >= n, F.expr("word").substr(F.lit(1), n))), lambda p: p.isNotNull()))
     p = w.select(key, "_t", "word", F.explode(cutting).alias("prefix"))
-    hit = p.join(g, F.col("prefix") == F.col("g_first")).where(F.col("one") | (F.col("word") == F.col("g_first")) & F.contains(F.lower("_t"), F.col("g_term")))
+    hit = p.join(F.broadcast(g), F.col("prefix") == F.col("g_first")).where(F.col("one") | (F.col("word") == F.col("g_first")) & F.contains(F.lower("_t"), F.col("g_term")))
     return hit.select(key, "term", "english", "tags").distinct()
 
 
