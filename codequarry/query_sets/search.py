@@ -324,9 +324,15 @@ def stored_index(spark, sf):
     return _STORED[key]
 
 
+def _rounded(c, n):
+    """A positive double to ``n`` decimals as SQL rounds it: halves are those of the product, where Spark's ``round`` takes those of the decimal digits."""
+    p = c * F.lit(10.0**n)
+    return (F.floor(p) + F.when(p - F.floor(p) >= 0.5, 1).otherwise(0)) / F.lit(10.0**n)
+
+
 def _bm25(spark, sf, every):
     found = stored_index(spark, sf).search(text_queries(spark, sf), 10, every)
-    return found.select("query_id", "symbol_id", F.round("score", 4).alias("score"))
+    return found.select("query_id", "symbol_id", _rounded(F.col("score"), 4).alias("score"))
 
 
 @query("fts_bm25", _BM25.format("true"))

@@ -5,6 +5,8 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from codequarry.operators import fts
+from codequarry.queries import QUERIES
+from codequarry.query_sets import search
 
 
 def test_tasks_keep_the_best_documents_of_each_list(spark, monkeypatch):
@@ -36,3 +38,20 @@ def test_tasks_keep_the_best_documents_of_each_list(spark, monkeypatch):
                 want |= {(k, i, p + 1) for p, (_, i) in enumerate(sorted(hits)[:6])}
             got = fts.bm25(q, index, n, mean, 6, every).collect()
             assert {(r["query_id"], r["symbol_id"], r["pos"]) for r in got} == want
+
+
+def test_scores_are_rounded_as_sql_rounds_them(spark, monkeypatch):
+    import duckdb
+
+    scores = [32.61635, 20.27275, 12.31745, 1.00005, 0.0, 7.123449, *((k * 100 + 50) / 1e6 for k in range(2000))]
+
+    class Found:
+        def search(self, queries, n, every):
+            return spark.createDataFrame([(k, k, s, 1) for k, s in enumerate(scores)], "query_id long, symbol_id long, score double, pos int")
+
+    monkeypatch.setattr(search, "stored_index", lambda spark, sf: Found())
+    monkeypatch.setattr(search, "text_queries", lambda spark, sf: None)
+    want = [duckdb.execute("SELECT round(?::DOUBLE, 4)", [s]).fetchone()[0] for s in scores]
+    got = QUERIES["fts_match"](spark, "").orderBy("query_id")
+    assert got.dtypes == [("query_id", "bigint"), ("symbol_id", "bigint"), ("score", "double")]
+    assert [r["score"] for r in got.collect()] == want
